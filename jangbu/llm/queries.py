@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jangbu.llm import abuse, encode, lookalike, split
+from jangbu.llm import abuse, encode, lookalike, names, split
 from jangbu.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split(table(spark, d, "chunks"), table(spark, d, "index_tags"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.links(table(spark, d, "identity_records"), table(spark, d, "buyer_orgs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.mismatches(table(spark, d, "identity_records"), table(spark, d, "registry")).select("record_id")
 
@@ -49,7 +53,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p6_found, p6_forms, p6_manifest, p8_ids, p10_found, p10_scores, p10_rates)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p6_found, p6_forms, p6_manifest, p8_ids, p10_found, p10_scores, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
