@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jangbu.llm import abuse, encode, lookalike, names, split
+from jangbu.llm import abuse, encode, leaks, lookalike, names, split
 from jangbu.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
+def p9_by_item(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "heldout_items")
+    found = leaks.leaks(table(spark, d, "documents"), items)
+    n = found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max(F.col("n_found") / F.col("n_words")).alias("largest_share"))
+    return items.select("item_id", "split").join(F.broadcast(n), "item_id", "left").select("item_id", "split", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "largest_share")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return abuse.scores(table(spark, d, "documents")).where("flagged").select("doc_id")
 
@@ -53,7 +65,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p6_found, p6_forms, p6_manifest, p8_ids, p10_found, p10_scores, p10_rates)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p6_found, p6_forms, p6_manifest, p8_ids, p9_found, p9_by_item, p10_found, p10_scores, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
