@@ -75,14 +75,17 @@ def instants(records: DataFrame, text: str, systems: DataFrame, policy: str = "s
     impossible dates, unknown zones, and texts without a zone whose system is
     null or unknown (an epoch number or a stated zone needs none); a date order
     that is not known reads as ymd with a two-digit year, dmy with a four-digit one.
+    Columns of these two names that the records already have are replaced.
     ``time_issue`` is ``ambiguous`` or ``nonexistent`` where the policy decided.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy {policy!r} is none of {POLICIES}")
-    keep = records.columns
+    keep = [c for c in records.columns if c not in ("instant", "time_issue")]
     known = systems.select(F.col("collection_system").alias("_sys"), F.col("home_zone").alias("_home"), F.col("date_order").alias("_order")).dropDuplicates(["_sys"])
-    t = F.trim(F.regexp_replace(F.translate(F.col(text), _WIDE, _NARROW), r"\s+", " "))
-    df = records.join(F.broadcast(known), F.col(system) == F.col("_sys"), "left").withColumn("_t", t)
+    t = F.trim(F.regexp_replace(F.translate(F.col("_text"), _WIDE, _NARROW), r"\s+", " "))
+    # whatever columns come along travel in a struct, so that no name of theirs meets one used here
+    packed = records.select(F.struct(*keep).alias("_r"), F.col(text).alias("_text"), F.col(system).alias("_system"))
+    df = packed.join(F.broadcast(known), F.col("_system") == F.col("_sys"), "left").withColumn("_t", t)
     before = F.regexp_extract("_t", ZONE_BEFORE, 1)
     df = df.withColumn("_front", before).withColumn("_t", F.when(before != "", F.regexp_replace("_t", ZONE_BEFORE, "")).otherwise(F.col("_t")))
     df = df.withColumn("_offset", F.translate(F.regexp_extract("_t", ZONE_AFTER, 1), "−", "-")).withColumn("_back", F.regexp_extract("_t", ZONE_AFTER, 2))
@@ -122,8 +125,8 @@ def instants(records: DataFrame, text: str, systems: DataFrame, policy: str = "s
         df = df.withColumn("_u", F.expr("if(time_issue is null, _u, null)"))
     epoch = F.when(F.col("_t").rlike(r"^\d{10}$"), F.col("_t").cast("long") * 1_000_000).when(F.col("_t").rlike(r"^\d{13}$"), F.col("_t").cast("long") * 1000)
     df = df.withColumn("_us", epoch).withColumn("instant", F.expr("coalesce(timestampadd(MICROSECOND, _us, timestamp_ntz'1970-01-01 00:00:00'), _u)"))
-    done = df.select(*keep, F.explode_outer(F.array(F.struct(F.col("instant"), F.when(F.col("_us").isNull(), F.col("time_issue")).alias("time_issue")))).alias("_t"))
-    return done.select(*keep, "_t.instant", "_t.time_issue")
+    done = df.select("_r", F.explode_outer(F.array(F.struct(F.col("instant"), F.when(F.col("_us").isNull(), F.col("time_issue")).alias("time_issue")))).alias("_t"))
+    return done.select("_r.*", "_t.instant", "_t.time_issue")
 
 
 FIELDS = ("bid_deadline_raw", "notice_date")
