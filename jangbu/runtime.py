@@ -2,14 +2,46 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, once per application.
+
+    Workers on this machine get its place on their path; on a cluster the
+    package also travels as a zip through Spark's own file server.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    home = Path(__file__).resolve().parent
+    paths = [str(home.parent), *filter(None, [sc.environment.get("PYTHONPATH")])]
+    sc.environment["PYTHONPATH"] = os.pathsep.join(paths)
+    if not sc.master.startswith("local"):
+        where = checkpoint_dir(spark).removeprefix("file://").removeprefix("file:")
+        folder = Path(where) if where.startswith("/") and "://" not in where else Path(tempfile.mkdtemp())
+        folder.mkdir(parents=True, exist_ok=True)
+        target = folder / f"{home.name}-{sc.applicationId}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent))
+        sc.addPyFile(str(target))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,9 +63,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back: lineage ends here.
+
+    A plain checkpoint keeps the planner's estimates.  Those of a join multiply,
+    so that in an iterative operator their digits double every round until
+    planning takes all the driver's memory; a written table has its real size.
+    The folder is the cluster's to empty, as with checkpoints.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
