@@ -306,31 +306,42 @@ def average_linkage(edges: DataFrame, sizes: DataFrame, least: float = LINKAGE)
     ``sizes`` (``node, n``) says how many records a node stands for.  In every
     round all pairs of clusters that are each other's nearest are joined, which
     gives the tree that joining one pair at a time gives; rounds end when no pair
-    reaches ``least``.  A cluster's number is its smallest node.  Nothing is
-    gathered anywhere: each round is joins over what is left of the edges.
+    reaches ``least``.  A cluster's number is that of one of its nodes.  Nothing
+    is gathered anywhere: each round is joins over what is left of the edges, and
+    nodes that no edge of ``least`` touches take no part in them, as an average
+    never exceeds the largest of what it averages.
     """
-    member = cut(sizes.select("node", F.col("node").alias("cluster")))
-    size = sizes.select(F.col("node").alias("cluster"), "n")
+    na, nb = sizes.withColumnsRenamed({"node": "a", "n": "na"}), sizes.withColumnsRenamed({"node": "b", "n": "nb"})
+    strong = edges.where(F.col("similarity") >= least)
+    touched = strong.select(F.col("a").alias("x")).unionByName(strong.select(F.col("b").alias("x"))).distinct()
+    kept = edges.join(touched.withColumnRenamed("x", "a"), "a", "left_semi").join(touched.withColumnRenamed("x", "b"), "b", "left_semi")
     # total similarity between clusters, weighted by records
-    na, nb = size.withColumnsRenamed({"cluster": "a", "n": "na"}), size.withColumnsRenamed({"cluster": "b", "n": "nb"})
-    between = cut(edges.join(na, "a").join(nb, "b").select("a", "b", "na", "nb", (F.col("similarity") * F.col("na") * F.col("nb")).alias("total")))
+    between = cut(kept.join(na, "a").join(nb, "b").select("a", "b", "na", "nb", (F.col("similarity") * F.col("na") * F.col("nb")).alias("total")))
+    rounds: list[DataFrame] = []
     while True:
-        mean = between.withColumn("mean", F.col("total") / (F.col("na") * F.col("nb"))).where(F.col("mean") >= least)
-        both = mean.select(F.col("a").alias("c"), F.col("b").alias("d"), "mean").unionByName(mean.select(F.col("b").alias("c"), F.col("a").alias("d"), "mean"))
-        nearest = both.groupBy("c").agg(F.max_by("d", F.struct("mean", -F.least("c", "d"), -F.greatest("c", "d"))).alias("d"))
-        x, y = nearest.alias("x"), nearest.alias("y")
-        join = cut(x.join(y, (F.col("x.c") == F.col("y.d")) & (F.col("x.d") == F.col("y.c")) & (F.col("x.c") < F.col("x.d"))).select(F.col("x.d").alias("old"), F.col("x.c").alias("new")))
-        if join.isEmpty():
-            return member
-        member = cut(member.join(join, member.cluster == join.old, "left").select("node", F.coalesce("new", "cluster").alias("cluster")))
-        renamed = between
-        for side in ("a", "b"):
-            renamed = renamed.join(join.withColumnsRenamed({"old": side, "new": f"{side}_new"}), side, "left").withColumn(side, F.coalesce(f"{side}_new", side)).drop(f"{side}_new")
-        swapped = renamed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total")
-        summed = swapped.groupBy("a", "b").agg(F.sum("total").alias("total"))
-        size = cut(member.join(sizes, "node").groupBy("cluster").agg(F.sum("n").alias("n")))
-        na, nb = size.withColumnsRenamed({"cluster": "a", "n": "na"}), size.withColumnsRenamed({"cluster": "b", "n": "nb"})
-        between = cut(summed.join(na, "a").join(nb, "b"))
+        mean = between.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), (F.col("total") / (F.col("na") * F.col("nb"))).alias("mean")).where(F.col("mean") >= least)
+        ends = mean.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("d")), F.struct(F.col("b").alias("c"), F.col("a").alias("d")))).alias("e"), "n", "mean", "a", "b")
+        nearest = ends.groupBy("e.c").agg(F.max(F.struct("mean", "a", "b", "n", "e.d")).alias("m")).select("c", F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.n").alias("n"))
+        # both ends name the pair
+        joined = nearest.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n")).where("k = 2")
+        merged = cut(joined.select(F.explode(F.array("a", "b")).alias("c"), F.col("a").alias("into"), "n"))
+        if merged.isEmpty():
+            break
+        rounds.append(merged)
+        ra, rb = (merged.withColumnsRenamed({"c": s, "into": f"into_{s}", "n": f"n_{s}"}) for s in "ab")
+        moved = between.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("into_a", "a").alias("a"), F.coalesce("n_a", "na").alias("na"), F.coalesce("into_b", "b").alias("b"), F.coalesce("n_b", "nb").alias("nb"), "total").where("a <> b")
+        turned = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "total")
+        between = cut(turned.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("total").alias("total")))
+    if not rounds:
+        return sizes.select("node", F.col("node").alias("cluster"))
+    member = rounds[0].select(F.col("c").alias("node"), F.col("into").alias("cluster"))
+    for merged in rounds[1:]:
+        step = merged.select("c", "into")
+        old = member.join(step, F.col("cluster") == F.col("c"), "left").select("node", F.coalesce("into", "cluster").alias("cluster"))
+        # nodes that are joined for the first time
+        first = step.join(member.select(F.col("node").alias("c")), "c", "left_anti").select(F.col("c").alias("node"), F.col("into").alias("cluster"))
+        member = cut(old.unionByName(first))
+    return sizes.join(member, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 
 def projects(identity_records: DataFrame) -> DataFrame:
@@ -353,7 +364,7 @@ def project_links(identity_records: DataFrame) -> DataFrame:
     Null and blank names, and records without document, link to nothing.
     """
     of = projects(identity_records)
-    r = cut(identity_records.where("document_id is not null and project_name is not null").select("record_id", "document_id", "project_name").join(of, "project_name"))
+    r = identity_records.where("document_id is not null and project_name is not null").select("record_id", "document_id", "project_name").join(of, "project_name")
     a, b = r.alias("a"), r.alias("b")
     pairs = a.join(b, F.col("a.project") == F.col("b.project")).where("a.record_id < b.record_id and a.document_id <> b.document_id and a.project_name <> b.project_name")
     return pairs.select(F.col("a.record_id").alias("record_id"), F.col("b.record_id").alias("linked_id"))

@@ -41,7 +41,7 @@ def _hard(text: str, start: int, end: int, most: int) -> list[tuple[int, int]]:
     out = []
     while end - start > most:
         at = start + most
-        while at > start + most // 2 and (unicodedata.combining(text[at]) or text[at] in "‍︎️" or text[at - 1] == "‍" or text[at - 1 : at + 1] == "\r\n" or "ᅠ" <= text[at] <= "ᇿ"):
+        while at > start + max(1, most // 2) and (unicodedata.combining(text[at]) or text[at] in "‍︎️" or text[at - 1] == "‍" or text[at - 1 : at + 1] == "\r\n" or "ᅠ" <= text[at] <= "ᇿ"):
             at -= 1
         out.append((start, at))
         start = at
