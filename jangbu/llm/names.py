@@ -287,16 +287,18 @@ def similar_cores(nodes: DataFrame) -> DataFrame:
     The join is over an inverted index of n-grams, exact, without caps; the
     similarity is the mean of the cosine and 1 - edit cost / 3.
     """
-    gram = nodes.select("node", "year", "phase", "core", F.explode(_grams("core")).alias("gram"))
+    gram = nodes.select("node", "year", "phase", F.explode(_grams("core")).alias("gram"))
     n = nodes.agg(F.count("*")).scalar()
     weight = gram.groupBy("gram").agg(F.count("*").alias("df")).select("gram", F.log(1 + n / F.col("df")).alias("w"))
     weighted = gram.join(weight, "gram")
     norm = weighted.groupBy("node").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = cut(weighted.join(norm, "node").select("node", "year", "phase", "core", "gram", (F.col("w") / F.col("norm")).cast("float").alias("x")))
+    index = cut(weighted.join(norm, "node").select("node", "year", "phase", "gram", (F.col("w") / F.col("norm")).cast("float").alias("x")))
     a, b = index.alias("a"), index.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("gram", "year", "phase")]
-    dots = a.join(b, same).where("a.node < b.node").groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("cosine"), F.first("a.core").alias("core_a"), F.first("b.core").alias("core_b"))
-    near = dots.where(F.col("cosine") >= COSINE - 1e-6).withColumn("cost", _cost("core_a", "core_b"))
+    dots = a.join(b, same).where("a.node < b.node").groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("cosine"))
+    close = cut(dots.where(F.col("cosine") >= COSINE - 1e-6))
+    core = lambda side: nodes.select(F.col("node").alias(side), F.col("core").alias(f"core_{side}"))
+    near = close.join(core("a"), "a").join(core("b"), "b").withColumn("cost", _cost("core_a", "core_b"))
     return near.select("a", "b", (((1 - F.col("cost") / 3) + F.col("cosine")) / 2).alias("similarity")).where("similarity > 0")
 
 
@@ -312,6 +314,7 @@ def average_linkage(edges: DataFrame, sizes: DataFrame, least: float = LINKAGE)
     never exceeds the largest of what it averages.
     """
     na, nb = sizes.withColumnsRenamed({"node": "a", "n": "na"}), sizes.withColumnsRenamed({"node": "b", "n": "nb"})
+    edges = cut(edges)
     strong = edges.where(F.col("similarity") >= least)
     touched = strong.select(F.col("a").alias("x")).unionByName(strong.select(F.col("b").alias("x"))).distinct()
     kept = edges.join(touched.withColumnRenamed("x", "a"), "a", "left_semi").join(touched.withColumnRenamed("x", "b"), "b", "left_semi")
