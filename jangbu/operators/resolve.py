@@ -70,3 +70,31 @@ def resolve(questions: DataFrame, keys: DataFrame, text: str = "question", quest
     )
     doc = F.when(outcome == "org_and_project", F.col("d_both")).when(outcome == "project", F.col("d_project")).when(outcome == "org", F.col("d_org"))
     return j.select(question_id, outcome.alias("outcome"), doc.alias("document_id"))
+
+
+def verbatim(documents: DataFrame, names: DataFrame, key: str, text: str, name_id: str, most: int = GROUP) -> DataFrame:
+    """``key, name_id`` where a document's text contains a name (``key`` column of ``names``) as it stands.
+
+    ``names`` is a fixed list: at most ``most`` rows, else this fails rather than gather them.
+    """
+    rows = [(r.key, r[name_id]) for r in names.where("key <> ''").limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} names")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        by: dict[str, list[int]] = {}
+        for k, i in rows:
+            by.setdefault(k, []).append(i)
+        a = ahocorasick.Automaton()
+        for k, ids in by.items():
+            a.add_word(k, (k, ids))
+        if not len(a):
+            return
+        a.make_automaton()
+        for b in batches:
+            found = [(d, i) for d, t in zip(b[key], b[text], strict=True) for i in {i for _, (_, ids) in a.iter(t) for i in ids}]
+            yield pd.DataFrame(found, columns=[key, name_id]).astype("int64")
+
+    return documents.where(F.col(text).isNotNull()).select(key, text).mapInPandas(find, f"{key} long, {name_id} long")
