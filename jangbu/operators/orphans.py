@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from jangbu.runtime import cut
+
 #: Bits of one bitmap (Spark's bitmap functions are fixed to 4 kB) and hash ranges the dictionary is numbered in.
 BITS = 32_768
 RANGES = 64
@@ -90,9 +92,9 @@ def _month(c: Column | str) -> Column:
 
 def suspects(refs: DataFrame, held: DataFrame) -> DataFrame:
     """``document_id, period``: keys referenced in a month that the registry does not hold throughout that month."""
-    asked = refs.where("at is not null").select("document_id", _month("at").alias("period")).distinct()
+    asked = cut(refs.where("at is not null").select("document_id", _month("at").alias("period")).distinct())
     lo, hi = asked.agg(F.min("period")).scalar(), asked.agg(F.max("period")).scalar()
-    codes = dictionary(asked)
+    codes = cut(dictionary(asked))
     # months a holding covers from their first to their last instant, within those asked about
     first = _month("held_from") + F.when(F.col("held_from") <= F.date_trunc("month", "held_from"), 0).otherwise(1)
     full = (
@@ -113,7 +115,7 @@ def dangling(evaluation_items: DataFrame, approved_memory: DataFrame, registry:
     A reference without a time cannot be held by any row and dangles.  Registry
     rows without a start hold nothing.
     """
-    refs, held = references(evaluation_items, approved_memory), holdings(registry)
+    refs, held = cut(references(evaluation_items, approved_memory)), holdings(registry)
     maybe = refs.withColumn("period", _month("at")).join(suspects(refs, held), ["document_id", "period"], "left_semi").drop("period")
     timeless = refs.where("at is null")
     found = maybe.alias("r").join(held.alias("h"), F.expr("r.document_id = h.document_id and h.held_from <= r.at and (h.held_to is null or r.at < h.held_to)"), "left_anti")
