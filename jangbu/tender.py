@@ -94,7 +94,7 @@ def p13_deadline_keeps_unknown(spark, d):
 
 
 @registered("""select c.chunk_key from chunks c join (select distinct document_id from registry where retrieval_eligible and deleted_at is null) r using (document_id)
-  where c.retrieval_eligible and not coalesce(c.table_degraded, false) and trim(coalesce(c.text, '')) <> ''""")
+  where c.retrieval_eligible and not coalesce(c.table_degraded, false) and trim(coalesce(c.text, ''), ' ') <> ''""")
 def p15_retrievable_chunks(spark, d):
     c = table(spark, d, "chunks").where(F.col("retrieval_eligible") & ~F.coalesce("table_degraded", F.lit(False)) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
     return c.join(selection.scope(table(spark, d, "registry")), "document_id", "left_semi").select("chunk_key")

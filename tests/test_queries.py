@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from jangbu import catalog, evaluation, tender  # noqa: F401  (evaluation registers its queries with tender)
+from jangbu import catalog, contracts, evaluation, tender, wording  # noqa: F401  (they register their queries with tender)
 
 DATA = Path("/root/testdata/sf0.001")
 QUERIES = catalog.queries() | tender.queries()
