@@ -35,13 +35,13 @@ def s20_manifest(spark, d):
 @registered(r"""with m as (select record_id, regexp_extract(bid_deadline_raw, '((?:19|20)[0-9]{2})[-./년 ]+([0-9]{1,2})[-./월 ]+([0-9]{1,2})', ['y', 'm', 'd']) as p from identity_records),
   t as (select record_id, case when p.y <> '' and cast(nullif(p.m, '') as int) between 1 and 12 and cast(nullif(p.d, '') as int) between 1 and 31 then concat_ws('-', p.y, lpad(p.m, 2, '0'), lpad(p.d, 2, '0')) end as day from m)
   select record_id, day, case when day is null then 'unknown' when day >= '2024-06-01' then 'open' else 'expired' end as state from t""")
-def p14_deadline_state(spark, d):
+def pred14_deadline_state(spark, d):
     i = table(spark, d, "identity_records").select("record_id", C.loose_date(F.col("bid_deadline_raw")).alias("day"))
     return i.select("record_id", "day", F.when(F.col("day").isNull(), "unknown").when(F.col("day") >= "2024-06-01", "open").otherwise("expired").alias("state"))
 
 
 @registered("""select chunk_key, concat_ws(' | ', document_id, nullif(array_to_string(list_filter(section_path, lambda x: x is not null and x <> ''), ' > '), ''), location_label) as source, case when part > 0 and "of" > 1 then concat(part, '/', "of") end as piece from chunks""")
-def p22_source_strings(spark, d):
+def pred22_source_strings(spark, d):
     c = table(spark, d, "chunks")
     piece = F.when((F.col("part") > 0) & (F.col("of") > 1), F.concat(F.col("part").cast("string"), F.lit("/"), F.col("of").cast("string")))
     return c.select("chunk_key", F.concat_ws(" | ", "document_id", F.nullif(C.section(F.col("section_path")), F.lit("")), "location_label").alias("source"), piece.alias("piece"))

@@ -24,7 +24,7 @@ RANGES = 64
 
 def normal_id(c: Column) -> Column:
     """Trimmed of white space of any kind, upper case, null if nothing is left."""
-    return F.nullif(F.upper(F.regexp_replace(c, r"(?U)^[\s​﻿]+|[\s​﻿]+$", "")), F.lit(""))
+    return F.nullif(F.upper(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), F.lit(""))
 
 
 def references(evaluation_items: DataFrame, approved_memory: DataFrame) -> DataFrame:

@@ -55,19 +55,19 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered("""select lower(coalesce(active, 'true')) <> 'false' as is_active, status, count(*) as n from extraction_rows group by 1, 2""")
-def p01_active_status(spark, d):
+def pred01_active_status(spark, d):
     return _rows(spark, d).groupBy(C.active().alias("is_active"), "status").agg(F.count("*").alias("n"))
 
 
 @registered("""select field_name, count(*) filter (where status = 'value_present') as n_present, count(*) filter (where status in ('extraction_failed', 'review_required')) as n_unresolved,
   count(*) filter (where status <> 'field_absent') as n_not_absent from extraction_rows group by 1""")
-def p03_status_operators(spark, d):
+def pred03_status_operators(spark, d):
     return _rows(spark, d).groupBy("field_name").agg(F.count_if(C.status_is("present")).alias("n_present"), F.count_if(C.status_is("unresolved")).alias("n_unresolved"), F.count_if(C.status_is("absent", negated=True)).alias("n_not_absent"))
 
 
 @registered(f"""with {_CELLS} select document_id, status, {_AMOUNT.format("coalesce(answer_normalized, answer_raw)")} as amount,
   case when status = 'value_present' then {_AMOUNT.format("coalesce(answer_normalized, answer_raw)")} >= 500000000 end as large from cur where field_name = '예산'""")
-def p05_amount_predicate(spark, d):
+def pred05_amount_predicate(spark, d):
     c = selection.current_cells(_rows(spark, d).where(F.col("field_name") == "예산"))
     amount = C.plain_amount(F.coalesce("answer_normalized", "answer_raw"))
     return c.select("document_id", "status", amount.alias("amount"), F.when(F.col("status") == "value_present", C.compare(amount, ">=", 5e8)).alias("large"))
@@ -75,19 +75,19 @@ def p05_amount_predicate(spark, d):
 
 @registered(f"""with {_CELLS} select case when answer_raw is null then 'unknown' when regexp_matches(answer_raw, '본점|본사|소재지|소재한|권역|관내|지역\\s*업체|지역\\s*의무') then 'restricted'
   when regexp_matches(answer_raw, '제한\\s*(없|하지)|전국|무관|해당\\s*없') then 'none' else 'unknown' end as restriction, count(*) as n from cur where field_name = '지역제한' group by 1""")
-def p06_region_restriction(spark, d):
+def pred06_region_restriction(spark, d):
     c = selection.current_cells(_rows(spark, d).where(F.col("field_name") == "지역제한"))
     return c.groupBy(C.region_restriction(F.col("answer_raw")).alias("restriction")).agg(F.count("*").alias("n"))
 
 
 @registered(f"""with {_CELLS} select document_id, field_name, status, answer_raw, answer_normalized from cur where document_id = 'RFP-00000001' and field_name = '예산'""")
-def p11_point_lookup(spark, d):
+def pred11_point_lookup(spark, d):
     return selection.lookup(_rows(spark, d), "RFP-00000001", "예산").drop("row_id")
 
 
 @registered("""select document_id, count(*) as n, count(*) filter (where deleted_at is null) as n_open, count(*) filter (where coalesce(deleted_at >= timestamp '2024-06-01', true)) as n_kept
   from registry group by 1""")
-def p13_deadline_keeps_unknown(spark, d):
+def pred13_deadline_keeps_unknown(spark, d):
     r = table(spark, d, "registry")
     ok = F.col("deleted_at") >= F.expr("timestamp_ntz'2024-06-01 00:00:00'")
     return r.groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(F.col("deleted_at").isNull()).alias("n_open"), F.count_if(F.coalesce(ok, F.lit(True))).alias("n_kept"))
@@ -95,21 +95,21 @@ def p13_deadline_keeps_unknown(spark, d):
 
 @registered("""select c.chunk_key from chunks c join (select distinct document_id from registry where retrieval_eligible and deleted_at is null) r using (document_id)
   where c.retrieval_eligible and not coalesce(c.table_degraded, false) and trim(coalesce(c.text, ''), ' ') <> ''""")
-def p15_retrievable_chunks(spark, d):
+def pred15_retrievable_chunks(spark, d):
     c = table(spark, d, "chunks").where(F.col("retrieval_eligible") & ~F.coalesce("table_degraded", F.lit(False)) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
     return c.join(selection.scope(table(spark, d, "registry")), "document_id", "left_semi").select("chunk_key")
 
 
 @registered(f"""with {_CELLS} select field_name, status, count(*) as n, count(coalesce(nullif(trim(answer_normalized), ''), nullif(trim(answer_raw), ''))) as n_shown,
   count(distinct coalesce(nullif(trim(answer_normalized), ''), nullif(trim(answer_raw), ''))) as n_distinct from cur group by 1, 2""")
-def p17_displayed_values(spark, d):
+def pred17_displayed_values(spark, d):
     c = selection.current_cells(_rows(spark, d)).withColumn("shown", C.display(F.col("answer_normalized"), F.col("answer_raw")))
     return c.groupBy("field_name", "status").agg(F.count("*").alias("n"), F.count("shown").alias("n_shown"), F.countDistinct("shown").alias("n_distinct"))
 
 
 @registered("""select row_id, count(*) as n from (select distinct row_id, l.document_id as doc, l.heading as heading, l.line as line from
   (select row_id, representative_location as l from extraction_rows union all select row_id, unnest(additional_locations) from extraction_rows) where l is not null) group by 1""")
-def p29_citations(spark, d):
+def pred29_citations(spark, d):
     r = _rows(spark, d).select("row_id", F.explode(F.concat(F.array("representative_location"), F.coalesce("additional_locations", F.array().cast("array<struct<document_id:string,file:string,heading:string,line:int,line_start:int,line_end:int,source_type:string,block_type:string,block_index:int,section_path:array<struct<level:int,line:int,title:string>>>>")))).alias("l"))
     return r.where("l is not null").select("row_id", "l.document_id", "l.heading", "l.line").distinct().groupBy("row_id").agg(F.count("*").alias("n"))
 
@@ -172,7 +172,7 @@ def u02_candidates_minus_absent(spark, d):
 
 @registered("""select item_key, len(list_distinct(list_filter(list_transform(coalesce(evidence, []), lambda e: e.location.document), lambda x: x is not null and x <> coalesce(document_id, '')))) as n_other,
   coalesce(list_bool_and(list_transform(coalesce(evidence, []), lambda e: coalesce(e.status, '') = 'field_absent')), true) and len(coalesce(evidence, [])) > 0 as all_absent from evaluation_items""")
-def p26_evidence_tests(spark, d):
+def pred26_evidence_tests(spark, d):
     e = table(spark, d, "evaluation_items")
     docs = F.coalesce("evidence.location.document", F.array().cast("array<string>"))
     other = F.size(F.array_distinct(F.filter(docs, lambda x: x.isNotNull() & (x != F.coalesce("document_id", F.lit(""))))))

@@ -11,26 +11,26 @@ from jangbu.tender import registered
 
 
 @registered("""select retrieval_eligible, coalesce(lower(trim(cast(retrieval_eligible as varchar))), 'true') not in ('false', '0', 'no', 'n') as flag, count(*) as n from registry group by 1, 2""")
-def p02_flags(spark, d):
+def pred02_flags(spark, d):
     return table(spark, d, "registry").groupBy("retrieval_eligible", C.flag(F.col("retrieval_eligible")).alias("flag")).agg(F.count("*").alias("n"))
 
 
 @registered(r"""select row_id, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(answer_raw, '^\s*(?:[0-9]+[.)]|[가-하][.)]|[-○●■□◦▪※*•])\s*', ''), '^[^:：0-9]{1,12}[:：]\s*', ''), '^\s*금\s*', '')), ''), trim(answer_raw)) as shown from extraction_rows""")
-def p20_clean_values(spark, d):
+def pred20_clean_values(spark, d):
     """Values without list number, label and amount word; never emptied."""
     v = F.regexp_replace(C.strip_label(C.strip_enumerator(F.col("answer_raw"))), r"^\s*금\s*", "")
     return table(spark, d, "extraction_rows").select("row_id", F.coalesce(F.nullif(F.trim(v), F.lit("")), F.trim("answer_raw")).alias("shown"))
 
 
 @registered("""select row_id, status = 'conflict' as undecided, case when status = 'value_present' then coalesce(nullif(trim(answer_normalized), ''), answer_raw) when status = 'conflict' then concat('상충: ', answer_raw) when status = 'field_absent' then '기재 없음' when status = 'external_reference' then '별도 문서 참조' else '확인 필요' end as cell from extraction_rows""")
-def p19_rendered_cells(spark, d):
+def pred19_rendered_cells(spark, d):
     s = F.col("status")
     cell = F.when(s == "value_present", F.coalesce(F.nullif(F.trim("answer_normalized"), F.lit("")), "answer_raw")).when(s == "conflict", F.concat(F.lit("상충: "), "answer_raw")).when(s == "field_absent", "기재 없음").when(s == "external_reference", "별도 문서 참조").otherwise("확인 필요")
     return table(spark, d, "extraction_rows").select("row_id", (s == "conflict").alias("undecided"), cell.alias("cell"))
 
 
 @registered("""select doc_id, text is null or trim(text, ' ') in ('', '[]', '{}', 'null') as is_empty from documents""")
-def p21_empty_values(spark, d):
+def pred21_empty_values(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.col("text").isNull() | F.trim("text").isin("", "[]", "{}", "null")).alias("is_empty"))
 
 
