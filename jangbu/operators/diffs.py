@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,15 @@ def upsert_soft(index: DataFrame, document: DataFrame, key: str = "document_id")
     named = document.select(key).distinct().withColumn("_d", F.lit(True))
     old = index.join(named, key, "left").withColumn("active", F.col("active") & F.col("_d").isNull()).drop("_d")
     return old.unionByName(document.withColumn("active", F.lit(True)))
+
+
+def upsert(base: DataFrame, delivered: DataFrame, key: Column) -> DataFrame:
+    """``base`` with delivered rows merged in by ``key``, an expression both sides have the columns of.
+
+    A delivered value that is not null wins; columns only ``base`` has are kept, of
+    new rows null.  Of several delivered rows of one key the caller keeps one.
+    """
+    b, d = base.withColumn("_key", key), delivered.withColumn("_key", key)
+    shared = [c for c in base.columns if c in delivered.columns]
+    j = b.alias("b").join(d.alias("d"), F.col("b._key") == F.col("d._key"), "full_outer")
+    return j.select(*((F.coalesce(F.col(f"d.{c}"), F.col(f"b.{c}")) if c in shared else F.col(f"b.{c}")).alias(c) for c in base.columns))
