@@ -46,10 +46,10 @@ def substitution(a: str, b: str) -> float:
     return (0.0, 0.5, 0.8, 1.0)[(x // 588 != y // 588) + (x // 28 % 21 != y // 28 % 21) + (x % 28 != y % 28)]
 
 
-def inside(short: str, long: str) -> float:
-    """Least cost to turn ``short`` into a part of ``long``: substitutions by letters, inserted, lost and swapped syllables 1 each."""
+def inside(short: str, long: str, whole: bool = False) -> float:
+    """Least cost to turn ``short`` into a part of ``long`` (or into the ``whole`` of it): substitutions by letters, inserted, lost and swapped syllables 1 each."""
     before: list[float] = []
-    row = [0.0] * (len(long) + 1)
+    row = [float(j) if whole else 0.0 for j in range(len(long) + 1)]
     for i, x in enumerate(short, 1):
         new = [float(i)]
         for j, y in enumerate(long, 1):
@@ -58,7 +58,7 @@ def inside(short: str, long: str) -> float:
                 v = min(v, before[j - 2] + 1)
             new.append(v)
         before, row = row, new
-    return min(row)
+    return row[-1] if whole else min(row)
 
 
 # Organisations
@@ -156,6 +156,12 @@ class Organisations:
         return inside(form, s)
 
 
+def _listed(buyer_orgs: DataFrame) -> list[tuple[int, str, str, str, str]]:
+    """The official list, which is fixed (260 rows)."""
+    whole = buyer_orgs.where("org_id is not null and official_name is not null and org_type is not null and region is not null")
+    return [tuple(r) for r in whole.select("org_id", "official_name", "english_name", "org_type", "region").collect()]
+
+
 def organisation_links(identity_records: DataFrame, buyer_orgs: DataFrame) -> DataFrame:
     """``record_id, linked_id``: records whose buyer means a listed organisation and is not exactly its official name.
 
@@ -163,7 +169,7 @@ def organisation_links(identity_records: DataFrame, buyer_orgs: DataFrame) -> Da
     names, and names that mean none or could mean two, are left out.  Each
     distinct text is matched once.
     """
-    rows = [tuple(r) for r in buyer_orgs.where("official_name is not null and org_type is not null and region is not null").select("org_id", "official_name", "english_name", "org_type", "region").collect()]  # fixed: 260 rows
+    rows = _listed(buyer_orgs)
     cache: dict[str, Organisations] = {}
 
     @F.pandas_udf(T.LongType())
@@ -195,6 +201,8 @@ ENDING = re.compile(r"(?:위탁용역|용역사업|용역|사업)$")
 ORDINARY, ORDINARY_LEAST = 0.003, 8
 #: Cosine from which names are candidates; similarity at which clusters are joined.
 COSINE, LINKAGE = 0.3, 0.5
+#: Edit cost at which two cores have nothing in common any more.
+APART = 2.6
 
 
 def project_key(name: str) -> tuple[str, str, str]:
@@ -231,9 +239,21 @@ def own_words(text: str, ordinary: frozenset[str]) -> str:
     return text[max(0, a - 4) : b + 4] if b - a < 5 else text[a:b]
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("year", "phase", "wording")]))
-def _keys(name: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([project_key(x) for x in name], columns=["year", "phase", "wording"])
+def without_organisation(wording: str, organisations: frozenset[str]) -> str:
+    """A wording without the organisation it begins with, where more than that is left."""
+    for n in range(min(max(map(len, organisations), default=0), len(wording) - 4), 3, -1):
+        if wording[:n] in organisations:
+            return wording[n:]
+    return wording
+
+
+def _keys(organisations: frozenset[str]):
+    @F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("year", "phase", "wording")]))
+    def keys(name: pd.Series) -> pd.DataFrame:
+        found = (project_key(x) for x in name)
+        return pd.DataFrame([(y, p, without_organisation(w, organisations)) for y, p, w in found], columns=["year", "phase", "wording"])
+
+    return keys
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -256,18 +276,20 @@ SHARED_RUN = 6
 
 
 def _apart(short: str, long: str) -> float:
-    c = inside(short, long)
+    """Edit cost of two cores: of the whole where both are about as long, else of the shorter inside the longer, which then has wording around it."""
+    c = inside(short, long, whole=len(short) >= 5 and len(long) - len(short) <= 1)
     return min(c, 0.5) if c > 0.5 and any(short[i : i + SHARED_RUN] in long for i in range(len(short) - SHARED_RUN + 1)) else c
 
 
-def project_names(identity_records: DataFrame) -> DataFrame:
+def project_names(identity_records: DataFrame, organisations: frozenset[str] = frozenset()) -> DataFrame:
     """``project_name, year, phase, core`` of every distinct name that is not null or blank.
 
-    ``core`` is what is left of a name without year, phase, tags, endings and
-    wording that many names share.  The list of shared pairs of syllables holds
+    ``core`` is what is left of a name without year, phase, tags, endings, the
+    organisation it begins with (of the bare names given) and wording that many
+    names share.  The list of shared pairs of syllables holds
     at most (mean length / ORDINARY) entries, some thousands at any size.
     """
-    keyed = identity_records.where("project_name is not null and trim(project_name) <> ''").select("project_name").distinct().withColumn("k", _keys("project_name")).select("project_name", "k.*").where("wording <> ''")
+    keyed = identity_records.where("project_name is not null and trim(project_name) <> ''").select("project_name").distinct().withColumn("k", _keys(organisations)("project_name")).select("project_name", "k.*").where("wording <> ''")
     keyed = cut(keyed)
     wordings = keyed.select("year", "phase", "wording").distinct()
     total = wordings.count()
@@ -285,7 +307,7 @@ def similar_cores(nodes: DataFrame) -> DataFrame:
     """``a, b, similarity`` (a < b) of nodes (``node, year, phase, core``) of one year and phase: all pairs of cosine ``COSINE`` or more, confirmed by edit distance.
 
     The join is over an inverted index of n-grams, exact, without caps; the
-    similarity is the mean of the cosine and 1 - edit cost / 3.
+    similarity is the mean of the cosine and 1 - edit cost / ``APART``.
     """
     gram = nodes.select("node", "year", "phase", F.explode(_grams("core")).alias("gram"))
     n = nodes.agg(F.count("*")).scalar()
@@ -299,7 +321,7 @@ def similar_cores(nodes: DataFrame) -> DataFrame:
     close = cut(dots.where(F.col("cosine") >= COSINE - 1e-6))
     core = lambda side: nodes.select(F.col("node").alias(side), F.col("core").alias(f"core_{side}"))
     near = close.join(core("a"), "a").join(core("b"), "b").withColumn("cost", _cost("core_a", "core_b"))
-    return near.select("a", "b", (((1 - F.col("cost") / 3) + F.col("cosine")) / 2).alias("similarity")).where("similarity > 0")
+    return near.select("a", "b", ((1 - F.col("cost") / APART + F.col("cosine")) / 2).alias("similarity")).where("similarity > 0")
 
 
 def average_linkage(edges: DataFrame, sizes: DataFrame, least: float = LINKAGE) -> DataFrame:
@@ -347,12 +369,13 @@ def average_linkage(edges: DataFrame, sizes: DataFrame, least: float = LINKAGE)
     return sizes.join(member, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 
-def projects(identity_records: DataFrame) -> DataFrame:
+def projects(identity_records: DataFrame, buyer_orgs: DataFrame | None = None) -> DataFrame:
     """``project_name, project``: the class of every distinct name; names of one project share it.
 
     A class holds one year and one phase (also "none stated").
     """
-    named = cut(project_names(identity_records))
+    known = frozenset() if buyer_orgs is None else frozenset(f for forms in Organisations(_listed(buyer_orgs)).forms for f in forms)
+    named = cut(project_names(identity_records, known))
     node = F.xxhash64("year", "phase", "core")
     named = named.withColumn("node", node)
     records = identity_records.select("project_name").where("project_name is not null").groupBy("project_name").agg(F.count("*").alias("k"))
@@ -361,12 +384,12 @@ def projects(identity_records: DataFrame) -> DataFrame:
     return named.join(member, "node").select("project_name", F.col("cluster").alias("project"))
 
 
-def project_links(identity_records: DataFrame) -> DataFrame:
+def project_links(identity_records: DataFrame, buyer_orgs: DataFrame | None = None) -> DataFrame:
     """``record_id, linked_id`` (smaller first): records of different documents whose differing names mean one project.
 
     Null and blank names, and records without document, link to nothing.
     """
-    of = projects(identity_records)
+    of = projects(identity_records, buyer_orgs)
     r = identity_records.where("document_id is not null and project_name is not null").select("record_id", "document_id", "project_name").join(of, "project_name")
     a, b = r.alias("a"), r.alias("b")
     pairs = a.join(b, F.col("a.project") == F.col("b.project")).where("a.record_id < b.record_id and a.document_id <> b.document_id and a.project_name <> b.project_name")
@@ -376,4 +399,4 @@ def project_links(identity_records: DataFrame) -> DataFrame:
 def links(identity_records: DataFrame, buyer_orgs: DataFrame) -> DataFrame:
     """``field_name, record_id, linked_id`` of both kinds of names."""
     org = organisation_links(identity_records, buyer_orgs).select(F.lit("buyer_org").alias("field_name"), "record_id", F.col("linked_id").cast("long").alias("linked_id"))
-    return org.unionByName(project_links(identity_records).select(F.lit("project_name").alias("field_name"), "record_id", "linked_id"))
+    return org.unionByName(project_links(identity_records, buyer_orgs).select(F.lit("project_name").alias("field_name"), "record_id", "linked_id"))
