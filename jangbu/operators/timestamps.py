@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jangbu.runtime import cut
+
 POLICIES = ("standard", "later", "null")
 
 # Abbreviations and spellings of zones.
@@ -88,9 +90,10 @@ def instants(records: DataFrame, text: str, systems: DataFrame, policy: str = "s
     df = packed.join(F.broadcast(known), F.col("_system") == F.col("_sys"), "left").withColumn("_t", t)
     before = F.regexp_extract("_t", ZONE_BEFORE, 1)
     df = df.withColumn("_front", before).withColumn("_t", F.when(before != "", F.regexp_replace("_t", ZONE_BEFORE, "")).otherwise(F.col("_t")))
-    df = df.withColumn("_offset", F.translate(F.regexp_extract("_t", ZONE_AFTER, 1), "−", "-")).withColumn("_back", F.regexp_extract("_t", ZONE_AFTER, 2))
-    stated = (F.col("_offset") != "") | (F.col("_back") != "")
-    df = df.withColumn("_body", F.when(stated, F.trim(F.regexp_replace("_t", ZONE_AFTER, ""))).otherwise(F.col("_t")))
+    # one pass: body, offset and name of a zone after it, parted by a character no text has
+    df = df.withColumn("_z", F.split(F.regexp_replace(F.translate("_t", "\x01", " "), ZONE_AFTER, "\x01$1\x01$2"), "\x01", -1))
+    part = lambda i: F.coalesce(F.get("_z", F.lit(i)), F.lit(""))
+    df = df.withColumns({"_offset": F.translate(part(1), "−", "-"), "_back": part(2), "_body": F.when(F.col("_t").isNotNull(), F.trim(part(0)))})
     df = df.withColumn("_name", F.regexp_replace(F.when(F.col("_back") != "", F.col("_back")).otherwise(F.col("_front")), r"\s", ""))
     z = zones(records.sparkSession).select(F.col("zone_name").alias("_zn"), F.col("zone_id").alias("_zi"))
     df = df.join(F.broadcast(z), F.col("_name") == F.col("_zn"), "left")
@@ -146,7 +149,7 @@ def same_instant_pairs(identity_records: DataFrame, systems: DataFrame) -> DataF
     with very many records spreads over the instants its texts denote, and the
     planner's skew join splits what still is too large.
     """
-    n = normalised(identity_records, systems).where("document_id is not null and instant is not null").select("field_name", "document_id", "instant", "raw", "record_id")
+    n = cut(normalised(identity_records, systems).where("document_id is not null and instant is not null").select("field_name", "document_id", "instant", "raw", "record_id"))
     a, b = n.alias("a"), n.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("field_name", "document_id", "instant")]
     pairs = a.join(b, on).where("a.record_id < b.record_id and a.raw <> b.raw")
