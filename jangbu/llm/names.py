@@ -46,8 +46,11 @@ def substitution(a: str, b: str) -> float:
     return (0.0, 0.5, 0.8, 1.0)[(x // 588 != y // 588) + (x // 28 % 21 != y // 28 % 21) + (x % 28 != y % 28)]
 
 
-def inside(short: str, long: str, whole: bool = False) -> float:
-    """Least cost to turn ``short`` into a part of ``long`` (or into the ``whole`` of it): substitutions by letters, inserted, lost and swapped syllables 1 each."""
+def inside(short: str, long: str, whole: bool = False, most: float = math.inf) -> float:
+    """Least cost to turn ``short`` into a part of ``long`` (or into the ``whole`` of it): substitutions by letters, inserted, lost and swapped syllables 1 each.
+
+    Costs over ``most`` may come out as any number over ``most``.
+    """
     before: list[float] = []
     row = [float(j) if whole else 0.0 for j in range(len(long) + 1)]
     for i, x in enumerate(short, 1):
@@ -57,6 +60,8 @@ def inside(short: str, long: str, whole: bool = False) -> float:
             if i > 1 and j > 1 and x == long[j - 2] and short[i - 2] == y:
                 v = min(v, before[j - 2] + 1)
             new.append(v)
+        if min(new) > most and min(row) > most - 1:  # neither a step nor a swap leads back
+            return most + 1
         before, row = row, new
     return row[-1] if whole else min(row)
 
@@ -115,7 +120,13 @@ class Organisations:
                 self.stem.append(re.sub(r"(?:광역시|특별자치시|특별시|시|군|도|구)$", "", region))
                 self.org.append(listed.get((region, kind)))
                 self.forms.append(tuple(dict.fromkeys(forms)))
-        docs = [{g for f in fs for g in grams(f, 3)} for fs in self.forms]
+        holders: dict[str, set[int]] = {}
+        for k, fs in enumerate(self.forms):
+            for f in fs:
+                holders.setdefault(f, set()).add(k)
+        self.exact = {f: ks.pop() for f, ks in holders.items() if len(ks) == 1}
+        self.form_grams = [[frozenset(grams(f, 3)) for f in fs] for fs in self.forms]
+        docs = [set().union(*gs) for gs in self.form_grams]
         df = Counter(g for d in docs for g in d)
         self.column = {g: i for i, g in enumerate(sorted(df))}
         self.idf = np.array([math.log(1 + len(docs) / df[g]) for g in sorted(df)])
@@ -131,29 +142,39 @@ class Organisations:
         s = without_offices(plain(typed))
         if len(s) < 3:
             return None
+        whole = self.exact.get(s, self.exact.get(s.removesuffix("장")))
+        if whole is not None:
+            return self.org[whole]
         cols = [self.column[g] for g in grams(s, 3) if g in self.column]
         if not cols:
             return None
         similar = self.idf[cols] @ self.matrix[cols]
-        best = sorted(np.argsort(-similar, kind="stable")[:TOP].tolist())
+        best = np.argsort(-similar, kind="stable")[:TOP].tolist()
         named = [k for k in best if any(f in s for f in self.forms[k])]
         if len(named) == 1:
             return self.org[named[0]]
-        cost = sorted((min(self._cost(f, s) for f in self.forms[k]) + NO_REGION * (self.stem[k] not in s and not s.isascii()), k) for k in best)
+        # the likeliest spelling first; a cost that cannot matter any more is not worked out
+        have, least, cost = set(grams(s, 3)), math.inf, []
+        for k in best:
+            extra = NO_REGION * (self.stem[k] not in s and not s.isascii())
+            c = bound = min(MOST_COST, least) + MARGIN - extra
+            for i in sorted(range(len(self.forms[k])), key=lambda i, k=k: (-len(self.form_grams[k][i] & have), i)):
+                c = min(c, self._cost(self.forms[k][i], s, c))
+            cost.append(((c if c < bound else c + 1) + extra, k))
+            least = min(least, cost[-1][0])
+        cost.sort()
         (least, k), rest = cost[0], [c for c, _ in cost[1:]]
         if least > MOST_COST or least > 0.3 * len(s) or (rest and rest[0] - least < MARGIN):
             return None
         return self.org[k]
 
     @staticmethod
-    def _cost(form: str, s: str) -> float:
+    def _cost(form: str, s: str, most: float) -> float:
         if form in s:
             return 0.0
         if form.isascii() != s.isascii():
             return 99.0
-        if form.isascii():
-            return 0.5 * inside(form, s)
-        return inside(form, s)
+        return 0.5 * inside(form, s, most=2 * most) if form.isascii() else inside(form, s, most=most)
 
 
 def _listed(buyer_orgs: DataFrame) -> list[tuple[int, str, str, str, str]]:
