@@ -220,6 +220,8 @@ TAGS = re.compile(r"^\s*(?:[\[(<【〔]\s*[^\])>】〕]{1,8}\s*[\])>】〕]\s*)+
 ENDING = re.compile(r"(?:위탁용역|용역사업|용역|사업)$")
 #: Share of distinct names from which a pair of syllables is ordinary wording, and the least number that share stands for.
 ORDINARY, ORDINARY_LEAST = 0.003, 8
+#: Syllables in a row, in no frequent pair, from which a name has a part of its own beside its frequent pairs: typing errors in a frequent name leave fewer.
+OWN_LEAST = 4
 #: Cosine from which names are candidates; similarity at which clusters are joined.
 COSINE, LINKAGE = 0.3, 0.5
 #: Edit cost at which two cores have nothing in common any more.
@@ -242,8 +244,8 @@ def project_key(name: str) -> tuple[str, str, str]:
     return year, phase, ENDING.sub("", t) or t
 
 
-def own_words(text: str, ordinary: frozenset[str]) -> str:
-    """The longest part of a wording outside ordinary pairs of syllables; with four syllables on either side where it is short, all of it where there is none."""
+def own_stretch(text: str, ordinary: frozenset[str]) -> tuple[int, int]:
+    """Begin and end of the longest part of a wording outside the given pairs of syllables."""
     usual = [False] * len(text)
     for i in range(len(text) - 1):
         if text[i : i + 2] in ordinary:
@@ -254,12 +256,23 @@ def own_words(text: str, ordinary: frozenset[str]) -> str:
             if i - a > best[1] - best[0]:
                 best = (a, i)
             a = i + 1
-    a, b = best
+    return best
+
+
+def own_words(text: str, ordinary: frozenset[str]) -> str:
+    """The longest part of a wording outside ordinary pairs of syllables; with four syllables on either side where it is short, all of it where there is none."""
+    a, b = own_stretch(text, ordinary)
     if a == b:
         return text
     return text[max(0, a - 4) : b + 4] if b - a < 5 else text[a:b]
 
 
+def beside_own(text: str, frequent: frozenset[str]) -> list[str]:
+    """The frequent pairs of syllables of a wording that has a part of its own beside them; none where all it has is frequent."""
+    a, b = own_stretch(text, frequent)
+    return sorted({text[i : i + 2] for i in range(len(text) - 1)} & frequent) if b - a >= OWN_LEAST else []
+
+
 def without_organisation(wording: str, organisations: frozenset[str]) -> str:
     """A wording without the organisation it begins with, where more than that is left."""
     for n in range(min(max(map(len, organisations), default=0), len(wording) - 4), 3, -1):
@@ -307,15 +320,24 @@ def project_names(identity_records: DataFrame, organisations: frozenset[str] = f
 
     ``core`` is what is left of a name without year, phase, tags, endings, the
     organisation it begins with (of the bare names given) and wording that many
-    names share.  The list of shared pairs of syllables holds
-    at most (mean length / ORDINARY) entries, some thousands at any size.
+    names share.  A pair of syllables counts as shared where names hold it beside
+    a part of their own; the spellings of one project, however many, hold the
+    pairs of its name beside nothing else, so its name stays.  The list of
+    shared pairs holds at most (mean length / ORDINARY) entries, some thousands
+    at any size.
     """
     keyed = identity_records.where("project_name is not null and trim(project_name) <> ''").select("project_name").distinct().withColumn("k", _keys(organisations)("project_name")).select("project_name", "k.*").where("wording <> ''")
     keyed = cut(keyed)
     wordings = keyed.select("year", "phase", "wording").distinct()
-    total = wordings.count()
-    usual = wordings.select(F.explode(_pairs_of_syllables("wording")).alias("pair")).groupBy("pair").count().where(F.col("count") > max(ORDINARY_LEAST, ORDINARY * total))
-    ordinary = frozenset(r.pair for r in usual.select("pair").collect())
+    least = max(ORDINARY_LEAST, ORDINARY * wordings.count())
+    shared = lambda pairs: frozenset(r.pair for r in wordings.select(F.explode(pairs("wording")).alias("pair")).groupBy("pair").count().where(F.col("count") > least).select("pair").collect())
+    frequent = shared(_pairs_of_syllables)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def beside(s: pd.Series) -> pd.Series:
+        return pd.Series([beside_own(x, frequent) for x in s], dtype=object)
+
+    ordinary = shared(beside)
 
     @F.pandas_udf(T.StringType())
     def core(s: pd.Series) -> pd.Series:

@@ -50,3 +50,25 @@ def test_links(spark):
     got = {tuple(x) for x in names.links(spark.createDataFrame(data, schema), orgs).select("field_name", "record_id", "linked_id").collect()}
     assert got == {("buyer_org", 2, 1), ("buyer_org", 6, 1), ("project_name", 1, 2), ("project_name", 1, 6), ("project_name", 2, 9), ("project_name", 6, 9)}
     assert names.links(spark.createDataFrame([], schema), orgs.limit(0)).count() == 0
+
+
+def test_many_spellings_of_one_project_leave_its_name_its_own(spark):
+    r = random.Random(7)
+    made_up = lambda: "".join(r.choice("가나다라마바사자카타파하거너더러머버서저") for _ in range(7))
+    topics, systems, actions = ("연구성과", "교통정보", "예산회계", "전자도서관"), ("시스템", "플랫폼", "데이터베이스"), ("구축", "유지관리", "기능개선")
+    others = [f"{made_up()}{r.choice(topics)}{r.choice(systems)}{r.choice(actions)}" for _ in range(400)]
+    own, tail = "쿠호묘쳐푸휴뇨", "연구성과플랫폼구축"
+    hot = {own + tail}
+    while len(hot) < 300:
+        k = r.randrange(len(own + tail))
+        x = own + tail
+        hot.add(x[:k] + chr(r.randrange(0xAC00, 0xD7A4)) + x[k + r.choice((0, 1)) :])
+    core = {x.project_name: x.core for x in names.project_names(spark.createDataFrame([(x,) for x in [*others, *hot]], "project_name string"), frozenset()).collect()}
+    assert core[own + tail] == own
+    assert all(core[x].startswith(own) and len(core[x]) <= 9 for x in hot if x.startswith(own))
+    spelt_wrong = [x for x in hot if not x.startswith(own)]
+    assert len(spelt_wrong) > 100
+    # all of the name is compared, not the stretch around the error
+    assert all(5 <= len(core[x]) <= 8 and x.startswith(core[x]) for x in spelt_wrong)
+    # and other names lose their ordinary wording as before
+    assert sum(core[x] == x[:7] for x in others) > 0.9 * len(others)
