@@ -106,6 +106,18 @@ def f40_three_formats(spark, d):
     return i.select("record_id", F.expr("try_cast(bid_deadline_raw as timestamp_ntz)").alias("deadline"))
 
 
+@registered(r"""select record_id, case when regexp_matches(trim(bid_deadline_raw), '^[0-9]{4}-') then coalesce(try_strptime(trim(bid_deadline_raw), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(bid_deadline_raw), '%Y-%m-%d %H:%M'), try_strptime(trim(bid_deadline_raw), '%Y-%m-%d')) end as deadline from identity_records""")
+def f40_all_deadlines(spark, d):
+    """Deadlines of all records, null where none of the three plain notations parses."""
+    return table(spark, d, "identity_records").select("record_id", plain_deadline("bid_deadline_raw").alias("deadline"))
+
+
+def plain_deadline(name):
+    """A text column as time where it is a date, with or without hour and minute, or second; null where it is not, hour 24 included."""
+    raw = F.trim(F.col(name))
+    return F.when(raw.rlike(r"\A[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(\s+[0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?)?\z"), F.regexp_replace(raw, r"\s+", " ").try_cast("timestamp_ntz"))
+
+
 @registered(r"""select row_id, case when hh is null then null else lpad(cast(case when ap in ('오후', 'PM') and hh < 12 then hh + 12 when ap in ('오전', 'AM') and hh = 12 then 0 else hh end as varchar), 2, '0') || ':' || mm end as at from
   (select record_id as row_id, regexp_extract(bid_deadline_raw, '(오전|오후|AM|PM)?\s*[0-9]{1,2}:[0-9]{2}\s*(?:AM|PM)?', 1) || regexp_extract(bid_deadline_raw, '[0-9]{1,2}:[0-9]{2}\s*(AM|PM)', 1) as ap, try_cast(regexp_extract(bid_deadline_raw, '([0-9]{1,2}):[0-9]{2}', 1) as int) as hh, regexp_extract(bid_deadline_raw, '[0-9]{1,2}:([0-9]{2})', 1) as mm from identity_records)""")
 def f42_clock_times(spark, d):

@@ -36,3 +36,15 @@ def test_parse():
     assert not parse("예산이 1억원 이상 또는 지역제한이 없는 사업").executable
     assert parse("예산이 궁금한 사업").unresolved and not parse("예산이 궁금한 사업").executable
     assert not parse("").executable
+
+
+def test_plain_deadlines(spark):
+    from datetime import datetime
+
+    from jangbu.wording import f40_all_deadlines, plain_deadline
+
+    want = {"2024-01-05 10:24:00": datetime(2024, 1, 5, 10, 24), " 2024-1-5": datetime(2024, 1, 5), "2024-01-05 9:05": datetime(2024, 1, 5, 9, 5)} | dict.fromkeys(("2024-01-05 24:00", "2024-02-30", "2024", "2024-01-05T10:00", "2024-01-05 10:00 KST", "미정", "", None))
+    got = spark.createDataFrame([(x,) for x in want], "x string").select("x", plain_deadline("x").alias("at"))
+    assert {r.x: r["at"] for r in got.collect()} == want
+    d = "/root/testdata/sf0.001"
+    assert f40_all_deadlines(spark, d).count() == spark.read.parquet(f"{d}/identity_records.parquet").count()
