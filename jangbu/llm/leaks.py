@@ -4,14 +4,18 @@ Terms are pairs of neighbouring words of the test items, written without the
 blank between them and looked for in texts without blanks, so that spacing,
 markup, punctuation, case and the form of characters do not matter.  The corpus's
 postings of these terms are stored; each item is looked up by its rarest terms,
-and the surviving pairs of document and item are aligned word by word.
+and the surviving pairs of document and item are aligned word by word.  Single
+words that stand free in a text count beside the pairs, so that a document whose
+words of an item are all parted from each other is found too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -29,6 +33,7 @@ NEED = 5
 
 _TAG = re.compile(r"<[^<>]{1,300}>")
 _SIGNS = re.compile(r"[\W_]+")
+_IN_NUMBER = re.compile(r"(?<=\d)[.,:](?=\d)")
 _PLAIN = re.compile(r"[\x20-\x7e\n\r\t가-힣]*")
 
 
@@ -48,6 +53,12 @@ def dense(text: str) -> str:
     return _SIGNS.sub("", clean(text))
 
 
+def pieces(text: str) -> tuple[str, set[int]]:
+    """Letters and digits only, and the positions in them at which blanks or signs stood (not those inside a number), both ends included."""
+    parts = _SIGNS.split(_IN_NUMBER.sub("", clean(text)))
+    return "".join(parts), {0, *accumulate(map(len, parts))}
+
+
 def words(text: str) -> list[str]:
     return [w for w in (_SIGNS.sub("", x) for x in clean(text).split()) if w]
 
@@ -110,28 +121,78 @@ def aligned(item: list[str], text: str) -> int:
     return total
 
 
-def postings(documents: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``doc_id, term, position`` of every occurrence of the terms in every document (null texts have none)."""
+def in_order(item: list[str], text: str, edges: set[int]) -> int:
+    """Most words of ``item`` that stand in ``text`` in order, whatever stands between: each between two ``edges``, or beside its neighbour in the item."""
+
+    def places(t: str) -> Iterator[int]:
+        at = text.find(t)
+        while at >= 0:
+            yield at
+            at = text.find(t, at + 1)
+
+    spans: list[set[tuple[int, int]]] = [{(a, a + len(w)) for a in places(w) if a in edges and a + len(w) in edges} for w in item]
+    for i, (x, y) in enumerate(zip(item, item[1:], strict=False)):
+        for a in places(x + y):
+            spans[i].add((a, a + len(x)))
+            spans[i + 1].add((a + len(x), a + len(x) + len(y)))
+    ends: list[int] = []  # the least end of a chain of 1, 2, ... words
+    for of_word in spans:
+        for n, b in [(bisect_right(ends, a), b) for a, b in of_word]:
+            if n == len(ends):
+                ends.append(b)
+            elif b < ends[n]:
+                ends[n] = b
+    return len(ends)
+
+
+def postings(documents: DataFrame, vocabulary: list[str], items: dict[int, list[str]]) -> DataFrame:
+    """``doc_id, term, position, item_id`` of every occurrence of the terms in every document (null texts have none).
+
+    Rows with an ``item_id`` and no term name an item of which ``SHARE`` of the
+    words stand in the document, in any order: free, or in a term.
+    """
+    single = sorted({w for item in items.values() for w in item} - set(vocabulary))
+    places: dict[str, list[int]] = {}  # of words among all words of all items
+    pairs: dict[str, set[int]] = {}
+    owner: list[int] = []
+    for k, item in enumerate(items.values()):
+        for i, w in enumerate(item):
+            places.setdefault(w, []).append(len(owner) + i)
+            if i:
+                pairs.setdefault(item[i - 1] + w, set()).update((len(owner) + i - 1, len(owner) + i))
+        owner += [k] * len(item)
+    numbers, owners = np.array(list(items), np.int64), np.array(owner)
+    least = SHARE * np.bincount(owners, minlength=len(items))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for k, t in enumerate(vocabulary):
-            a.add_word(t, (k, len(t)))
+        for k, t in enumerate([*vocabulary, *single]):
+            a.add_word(t, (k, len(t), t))
         a.make_automaton()
         for b in batches:
-            doc, term, position = [], [], []
+            doc, term, position, whole = [], [], [], []
             for key, text in zip(b["doc_id"], b["text"], strict=True):
                 if not text:
                     continue
-                for end, (k, size) in a.iter(dense(text)):
-                    doc.append(key)
-                    term.append(k)
-                    position.append(end - size + 1)
-            yield pd.DataFrame({"doc_id": np.array(doc, np.int64), "term": np.array(term, np.int32), "position": np.array(position, np.int32)})
-
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(scan, "doc_id long, term int, position int")
+                t, edges = pieces(text)
+                free, beside = set(), set()
+                for end, (k, size, said) in a.iter(t):
+                    if end + 1 in edges and end - size + 1 in edges:
+                        free.add(said)
+                    if k < len(vocabulary):
+                        beside.add(said)
+                        doc.append(key)
+                        term.append(k)
+                        position.append(end - size + 1)
+                if free or beside:
+                    seen = set().union(*(places.get(w, ()) for w in free), *(pairs.get(w, ()) for w in beside))
+                    n = np.bincount(owners[list(seen)], minlength=len(least)) if seen else 0
+                    whole += [(key, i) for i in numbers[(n >= least) & (n > 0)].tolist()]
+            yield pd.DataFrame({"doc_id": np.array(doc + [d for d, _ in whole], np.int64), "term": pd.array(term + [None] * len(whole), "Int32"), "position": pd.array(position + [None] * len(whole), "Int32"), "item_id": pd.array([None] * len(doc) + [i for _, i in whole], "Int64")})
+
+    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(scan, "doc_id long, term int, position int, item_id long")
 
 
 def leaks(documents: DataFrame, heldout_items: DataFrame) -> DataFrame:
@@ -148,7 +209,8 @@ def leaks(documents: DataFrame, heldout_items: DataFrame) -> DataFrame:
         return spark.createDataFrame([], out)
     vocabulary = sorted({t for w in items.values() for t in terms(w)})
     number = {t: k for k, t in enumerate(vocabulary)}
-    index = cut(postings(documents, vocabulary))
+    stored = cut(postings(documents, vocabulary, items))
+    index = stored.where("term is not null").drop("item_id")
     rows = [(k, number[t], len(w)) for k, w in items.items() for t in set(terms(w))]
     of_item = spark.createDataFrame(rows, "item_id long, term int, n_words int")
     # an item's rarest terms: so many that a leak cannot do without all of them
@@ -161,15 +223,20 @@ def leaks(documents: DataFrame, heldout_items: DataFrame) -> DataFrame:
     rarest = spark.createDataFrame(rare, "item_id long, term int")
     first = index.join(F.broadcast(rarest), "term").select("doc_id", "item_id").distinct()
     hit = index.select("doc_id", "term").distinct().join(F.broadcast(of_item), "term").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_terms"), F.first("n_words").alias("n_words"))
-    candidates = hit.where(F.col("n_terms") >= F.greatest(F.lit(1), F.floor(F.col("n_words") / NEED))).join(first, ["doc_id", "item_id"], "left_semi").groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids"))
+    by_terms = hit.where(F.col("n_terms") >= F.greatest(F.lit(1), F.floor(F.col("n_words") / NEED))).join(first, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id")
+    by_words = stored.where("item_id is not null").select("doc_id", "item_id")
+    candidates = by_terms.unionByName(by_words).groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids"))
     shared = spark.sparkContext.broadcast(items)
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = []
             for key, text, ids in zip(b["doc_id"], b["text"], b["item_ids"], strict=True):
-                t = dense(text)
-                found += [(key, int(i), len(shared.value[i]), aligned(shared.value[i], t)) for i in sorted(ids)]
+                t, edges = pieces(text)
+                for i in sorted(ids):
+                    item = shared.value[i]
+                    n = aligned(item, t)
+                    found.append((key, int(i), len(item), n if n >= SHARE * len(item) else max(n, in_order(item, t, edges))))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "n_words", "n_found"]).astype({"doc_id": "int64", "item_id": "int64", "n_words": "int32", "n_found": "int32"})
 
     texts = documents.where("text is not null").select("doc_id", "text").join(candidates, "doc_id")

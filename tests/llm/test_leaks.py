@@ -52,3 +52,29 @@ def test_forms(spark):
     items = spark.createDataFrame([(1, item, "x"), (2, en, "x"), (3, None, "x"), (4, "...", "x"), (None, item, "x")], "item_id long, text string, term string")
     assert rows(leaks.leaks(docs, items).select("doc_id", "item_id")) == sorted([(i, 1) for i in (*range(8), 15)] + [(8, 2), (9, 2)], key=repr)
     assert leaks.leaks(docs.limit(0), items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_words_parted_from_each_other(spark):
+    item = "전력 사용량이 7,828킬로와트를 넘는 날에는 일괄 작업을 49시간 뒤로 미룬다 현장 표지판 점자가 거꾸로 붙어 있어".split()
+    half = item[::2]  # every second word
+    texts = [" ".join(f"{w} 다른{i}" for i, w in enumerate(half)), "<br>".join(f"{w}, 사이에 선 글{i}" for i, w in enumerate(half)), " ".join(f"{w} 다른{i}" for i, w in enumerate(half[1:])), " ".join(f"{w} 다른{i}" for i, w in enumerate(half[::-1])), "".join(f"{w}다른{i}" for i, w in enumerate(half)), " ".join(item[:3]).replace(" ", "") + " 그 밖에 " + " 또 ".join(item[4:13:2])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = leaks.leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    # parted, parted by markup, one word too few, in another order, inside longer words, partly written together
+    assert rows(got.select("doc_id", "item_id")) == [(0, 1), (1, 1), (5, 1)]
+
+
+def test_numbers_are_one_word():
+    assert leaks.in_order(["6", "개"], *leaks.pieces("6,414 세션과 6 개, 1.6개")) == 2
+    assert leaks.in_order(["6"], *leaks.pieces("6,414 세션과 1.6개")) == 0
+
+
+def test_words_in_order_against_brute_force():
+    r = random.Random(9)
+    for _ in range(200):
+        item = [r.choice(("가", "나나", "다", "라라")) for _ in range(r.randint(1, 9))]
+        text = [r.choice(("가", "나나", "다", "라라", "마")) for _ in range(r.randint(0, 25))]
+        free = leaks.in_order(item, *leaks.pieces(" ".join(text)))
+        assert free >= lcs(item, text)
+        spread = leaks.in_order(item, *leaks.pieces(" 마 ".join(text)))
+        assert spread == lcs(item, text)
