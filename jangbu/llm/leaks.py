@@ -3,8 +3,8 @@
 Terms are pairs of neighbouring words of the test items, written without the
 blank between them and looked for in texts without blanks, so that spacing,
 markup, punctuation, case and the form of characters do not matter.  The corpus's
-postings of these terms are stored; each item is looked up by its rarest terms,
-and the surviving pairs of document and item are aligned word by word.  Single
+postings of these terms are stored; documents that hold enough of an item's terms
+are aligned with it word by word, over their texts.  Single
 words that stand free in a text count beside the pairs, so that a document whose
 words of an item are all parted from each other is found too.
 """
