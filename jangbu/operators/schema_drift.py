@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from jangbu.runtime import cut
+
 # Field, kind it is cast to, names it goes by (folded: lower case, only letters and digits; parent/child where the child's name alone would not do).
 ALIASES = (
     ("generated_at", "instant", "generatedat generated createdat created buildtime builtat buildat releasedat generationtime timestamp 생성시각 생성일시 작성시각"),
@@ -62,26 +64,24 @@ def runs(files: DataFrame) -> DataFrame:
 def fields(run: DataFrame) -> DataFrame:
     """``producer, run_no, n, next_run_no, field_name, kind, path, json_type, value`` of every known field of every run.
 
-    Fields are looked for at the top and one level below.  ``json_type`` is null
-    for a null value.  A run that names a field twice counts its first path in
+    Fields are looked for at every level of objects, outside arrays and outside
+    objects that are a field themselves.  ``json_type`` is null for a null value.  A run that names a field twice counts its first path in
     alphabetical order.
     """
     spark = run.sparkSession
-    top = run.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer())).select("producer", "run_no", "n", "next_run_no", F.col("key").alias("path"), _fold(F.col("key")).alias("alias"), F.lit(None).cast("string").alias("parent"), "value")
-    below = (
-        top.where(_kind("value") == "object")
-        .withColumnsRenamed({"path": "up", "alias": "up_alias", "value": "inside"})
-        .drop("parent")
-        .lateralJoin(spark.tvf.variant_explode(F.col("inside").outer()))
-        .select("producer", "run_no", "n", "next_run_no", F.concat_ws("/", "up", "key").alias("path"), _fold(F.col("key")).alias("alias"), F.col("up_alias").alias("parent"), "value")
-    )
     names = alias_table(spark)
-    both = top.unionByName(below)
     whole, leaf = F.broadcast(names.withColumnsRenamed({"field_name": "f1", "kind": "k1", "alias": "a1"})), F.broadcast(names.withColumnsRenamed({"field_name": "f2", "kind": "k2", "alias": "a2"}))
-    named = both.join(whole, F.concat_ws("/", "parent", "alias") == F.col("a1"), "left").join(leaf, F.col("alias") == F.col("a2"), "left")
-    # below a field that is an object itself (corpus_dir: {root, name}) nothing is looked for
-    parents = F.broadcast(names.select(F.col("alias").alias("a3"), F.col("field_name").alias("f3")))
-    named = named.join(parents, F.col("parent") == F.col("a3"), "left").where("f1 is not null or (f2 is not null and f3 is null)")
+    level = run.select("producer", "run_no", "n", "next_run_no", F.lit(None).cast("string").alias("up"), F.lit(None).cast("string").alias("parent"), F.col("doc").alias("inside"))
+    named = None
+    while True:
+        items = level.lateralJoin(spark.tvf.variant_explode(F.col("inside").outer())).select("producer", "run_no", "n", "next_run_no", F.concat_ws("/", "up", "key").alias("path"), _fold(F.col("key")).alias("alias"), "parent", "value")
+        known = items.join(whole, F.concat_ws("/", "parent", "alias") == F.col("a1"), "left").join(leaf, F.col("alias") == F.col("a2"), "left")
+        found = known.where("f1 is not null or f2 is not null").drop("alias", "parent")
+        named = found if named is None else named.unionByName(found)
+        # below a field that is an object itself (corpus_dir: {root, name}) nothing is looked for
+        level = cut(known.where(F.col("f1").isNull() & F.col("f2").isNull() & (_kind("value") == "object")).select("producer", "run_no", "n", "next_run_no", F.col("path").alias("up"), F.col("alias").alias("parent"), F.col("value").alias("inside")))
+        if level.isEmpty():
+            break
     flat = named.select("producer", "run_no", "n", "next_run_no", F.coalesce("f1", "f2").alias("field_name"), F.coalesce("k1", "k2").alias("kind"), "path", _kind("value").alias("json_type"), F.expr("try_variant_get(value, '$', 'string')").alias("value"))
     keys = ["producer", "run_no", "n", "next_run_no", "field_name", "kind"]
     return flat.groupBy(*keys).agg(F.min(F.struct("path", "json_type", "value")).alias("x")).select(*keys, "x.*")

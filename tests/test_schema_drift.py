@@ -38,3 +38,15 @@ def test_changes_and_table(spark):
 def test_empty(spark):
     assert schema_drift.changes(files(spark, [("p", 1, "{}")])).count() == 0
     assert schema_drift.table(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_fields_at_any_depth(spark):
+    texts = [
+        ("p", 1, {"row_count": 5, "build": {"info": {"generated_at": "2024-01-01T00:00:00Z", "corpus": {"path": {"root": "/a", "note": "n"}}}}}),
+        ("p", 2, {"a": {"counts": {"rows": 5}}, "build": {"info": {"generated_at": 1704067200, "corpus": {"path": "/a"}}}}),
+        ("p", 3, {"a": {"b": {"c": {"d": {"row_count": 5}}}}, "list": [{"note": "x"}]}),
+    ]
+    f = files(spark, [(p, r, json.dumps(x)) for p, r, x in texts])
+    got = {tuple(r) for r in schema_drift.changes(f).select("run_no", "field_name", "change").collect()}
+    assert got == {(2, "row_count", "renamed"), (2, "generated_at", "retyped"), (2, "corpus_dir", "retyped"), (3, "row_count", "renamed"), (3, "generated_at", "removed"), (3, "corpus_dir", "removed")}
+    assert [r.row_count for r in schema_drift.table(f).orderBy("run_no").collect()] == [5, 5, 5]
