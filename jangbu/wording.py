@@ -65,6 +65,12 @@ def f12_file_stems(spark, d):
     return table(spark, d, "identity_records").select("record_id", F.regexp_replace(f, r"\.[A-Za-z0-9]{2,5}$", "").alias("stem"), F.lower(F.regexp_extract(f, r"\.([A-Za-z0-9]{2,5})$", 1)).alias("ending"))
 
 
+@registered(r"""select record_id, regexp_replace(regexp_replace(project_name, '\s+$', ''), '(\S{2,})의(\s)', '\1\2', 'g') || regexp_extract(project_name, '\s*$') as folded from identity_records""")
+def f10_possessive_folded(spark, d):
+    """Project names without the particle 의 between words, where two or more characters stand before it."""
+    return table(spark, d, "identity_records").select("record_id", F.regexp_replace("project_name", r"(\S{2,})의(?=\s+\S)", "$1").alias("folded"))
+
+
 @registered(r"""select item_key, document_id, regexp_matches(concat(' ', coalesce(answer_raw, ''), ' '), '[ ,(]' || regexp_escape(coalesce(answer_normalized, '~none~')) || '(은|는|이|가|을|를|의|에|입니다)?[ ,.)]') as stands_free from evaluation_items""")
 def f16_bounded_containment(spark, d):
     """Whether the normalised answer stands in the raw one as a word of its own."""
@@ -135,6 +141,26 @@ def f46_listed_values(spark, d):
     return r.select("row_id", v.alias("v")).select("row_id", F.size("v").cast("long").alias("n_items"), F.array_join(F.slice("v", 1, 60), "|").alias("items"))
 
 
+def without_contained(units):
+    """An array of texts without those that, by letters and digits, an earlier one contains; a longer one takes the place of the first it contains."""
+    key = lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
+
+    def add(kept, x):
+        at = F.array_position(F.transform(kept, lambda y: F.contains(key(y), key(x)) | F.contains(key(x), key(y))), True)
+        old = F.try_element_at(kept, at.cast("int"))
+        longer = F.transform(kept, lambda y, i: F.when(i == at - 1, x).otherwise(y))
+        return F.when(F.coalesce(key(x) == "", F.lit(True)), kept).when(at == 0, F.concat(kept, F.array(x))).when(F.contains(key(old), key(x)), kept).otherwise(longer)
+
+    return F.aggregate(units, F.expr("cast(array() as array<string>)"), add)
+
+
+@registered()
+def u05_units_kept(spark, d):
+    """Listed values of the documents to submit, without repeats and values contained in others."""
+    r = table(spark, d, "extraction_rows").where("field_name = '필수 제출 서류' and answer_raw is not null")
+    return r.select("row_id", without_contained(F.split("answer_raw", r"\s*[,;\n]\s*", -1)).alias("units"))
+
+
 @registered(r"""select chunk_key, coalesce(section_path[len(section_path)], nullif(regexp_extract(location_label, '^([^·]+)', 1), '')) as leaf, regexp_replace(location_label, '\s*\([0-9]+/[0-9]+\)$', '') as label from chunks""")
 def f49_chunk_locations(spark, d):
     c = table(spark, d, "chunks")

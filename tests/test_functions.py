@@ -48,3 +48,38 @@ def test_plain_deadlines(spark):
     assert {r.x: r["at"] for r in got.collect()} == want
     d = "/root/testdata/sf0.001"
     assert f40_all_deadlines(spark, d).count() == spark.read.parquet(f"{d}/identity_records.parquet").count()
+
+
+def test_units_without_contained(spark):
+    import random
+    import re
+
+    from jangbu.wording import without_contained
+
+    def fold(items):
+        kept, key = [], lambda v: re.sub(r"[\s\W_]+", "", v).casefold()
+        for x in items:
+            if not key(x):
+                continue
+            for i, y in enumerate(kept):
+                if key(x) in key(y):
+                    break
+                if key(y) in key(x):
+                    kept[i] = x
+                    break
+            else:
+                kept.append(x)
+        return kept
+
+    r = random.Random(4)
+    lists = [["".join(r.choice("가나a B-") for _ in range(r.randint(0, 5))) for _ in range(r.randint(0, 7))] for _ in range(300)]
+    got = spark.createDataFrame(list(enumerate(lists)), "n int, units array<string>").select("n", without_contained("units").alias("kept")).collect()
+    assert {x.n: x.kept for x in got} == {n: fold(x) for n, x in enumerate(lists)}
+
+
+def test_possessive_particle(spark, tmp_path):
+    from jangbu.wording import f10_possessive_folded
+
+    want = {"AI 기반의 영상감시의 시스템의": "AI 기반 영상감시 시스템의", "의정부시 의료원 통합 시스템": "의정부시 의료원 통합 시스템", "제안서 평가 심의 위원회": "제안서 평가 심의 위원회", "통합의  관리의 ": "통합  관리의 ", None: None}
+    spark.createDataFrame([(n, x) for n, x in enumerate(want)], "record_id long, project_name string").write.parquet(f"{tmp_path}/identity_records.parquet")
+    assert [x.folded for x in f10_possessive_folded(spark, str(tmp_path)).orderBy("record_id").collect()] == list(want.values())
