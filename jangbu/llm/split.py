@@ -1,14 +1,16 @@
 """Oversized texts cut at natural boundaries into pieces with a fixed overlap.
 
-A text is a tree of spans: heading sections, blank-line paragraphs, lines (list
-items, pipe rows) or HTML rows, sentences, words.  Only spans over the limit are
-opened; their parts are merged with their neighbours, bottom-up, as long as the
-limit holds.  Only texts over their limit reach Python.
+A text is a tree: sections nested by the depth of their headings, below them
+blank-line paragraphs, lines (list items, pipe rows) or HTML rows, sentences,
+words.  Only parts over the limit are opened; siblings are merged bottom-up as
+long as the limit holds.  Only texts over their limit reach Python.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,9 +20,10 @@ from pyspark.sql import types as T
 #: Smallest limit of a piece, whatever its prefix takes.
 LEAST = 200
 
-#: Where a part ends, by level of the tree; each match ends a part after itself.
+#: Lines that open a section, by depth: markdown headings, then numbered ones.
+HEADING = re.compile(r"^(?:(#{1,6})[ \t]|([IVXⅠ-Ⅻ]+\.)[ \t]|(\d+\.)[ \t]|([가-하]\.)[ \t]).*$", re.M)
+#: Where a part below the headings ends, by level of the tree; each match ends a part after itself.
 LEVELS = (
-    re.compile(r"\n(?=#{1,6} )|\n(?=(?:[IVXⅠ-Ⅻ]+|\d+|[가-하])\. )"),  # headings start sections
     re.compile(r"\n[ \t\r]*\n+|</table>|(?<=>)\n(?=<table)", re.I),  # paragraphs, whole tables
     re.compile(r"</tr\s*>\s*|\r?\n(?!\n)|<br\s*/?>|(?=[○●■□◦▪※] )", re.I),  # rows, list items, lines
     re.compile(r"</t[dh]\s*>|(?<=[.!?。！？])[\"'”’)\]]*\s+|(?<=다\.)(?=\S)|[;。]\s*", re.I),  # sentences, cells
@@ -28,16 +31,52 @@ LEVELS = (
 )
 
 
-def _parts(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
-    cuts = [m.end() for m in LEVELS[level].finditer(text, start, end) if start < m.end() < end]
-    edges = [start, *dict.fromkeys(cuts), end]
-    return list(zip(edges, edges[1:], strict=False))
+@dataclass
+class Node:
+    """A part of the text: a section with its own ``parts``, or a block that is opened by the separators from ``level`` on."""
+
+    start: int
+    end: int
+    parts: list[Node] = field(default_factory=list)
+    level: int = 0
+
+
+def tree(text: str) -> Node:
+    """The text's sections by the depth of their headings; each holds its own block, then its subsections."""
+    root = Node(0, len(text))
+    path: list[tuple[int, Node]] = [(0, root)]
+    for m in HEADING.finditer(text):
+        depth = len(m[1]) if m[1] else 7 + next(k for k in range(3) if m[2 + k])
+        while path[-1][0] >= depth:
+            path.pop()[1].end = m.start()
+        section = Node(m.start(), len(text))
+        path[-1][1].parts.append(section)
+        path.append((depth, section))
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        stack += node.parts
+        if node.parts and node.parts[0].start > node.start:
+            node.parts.insert(0, Node(node.start, node.parts[0].start))
+    return root
+
+
+def _opened(text: str, node: Node) -> list[Node]:
+    """The parts of a node: its sections, else what the first separators that cut it leave; a heading stays with what follows it."""
+    if node.parts:
+        return node.parts
+    for level in range(node.level, len(LEVELS)):
+        cuts = [m.end() for m in LEVELS[level].finditer(text, node.start, node.end) if node.start < m.end() < node.end]
+        if level < 2 and cuts and (m := HEADING.match(text, node.start)):
+            cuts = [c for c in cuts if text[m.end() : c].strip()]
+        if cuts:
+            edges = [node.start, *dict.fromkeys(cuts), node.end]
+            return [Node(a, b, level=level + 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return []
 
 
 def _hard(text: str, start: int, end: int, most: int) -> list[tuple[int, int]]:
     """Spans of at most ``most`` characters, none cut inside what reads as one character where that can be helped."""
-    import unicodedata
-
     out = []
     while end - start > most:
         at = start + most
@@ -48,42 +87,46 @@ def _hard(text: str, start: int, end: int, most: int) -> list[tuple[int, int]]:
     return [*out, (start, end)]
 
 
-def spans(text: str, start: int, end: int, most: int, level: int = 0) -> list[tuple[int, int]]:
-    """Adjacent spans of at most ``most`` characters that cover ``text[start:end]``, cut at the highest levels that allow it."""
-    if end - start <= most:
-        return [(start, end)]
-    while level < len(LEVELS):
-        parts = _parts(text, start, end, level)
-        if len(parts) > 1:
-            break
-        level += 1
-    else:
-        return _hard(text, start, end, most)
+def spans(text: str, node: Node, most: int) -> list[tuple[int, int]]:
+    """Adjacent spans of at most ``most`` characters that cover a node: only parts over it are opened, neighbours are merged as long as they fit."""
+    if node.end - node.start <= most:
+        return [(node.start, node.end)]
+    parts = _opened(text, node)
+    if not parts:
+        return _hard(text, node.start, node.end, most)
     packed: list[tuple[int, int]] = []
-    for a, b in parts:
-        for c, d in [(a, b)] if b - a <= most else spans(text, a, b, most, level + 1):
-            if packed and d - packed[-1][0] <= most:
-                packed[-1] = (packed[-1][0], d)
+    for part in parts:
+        for a, b in spans(text, part, most):
+            if packed and b - packed[-1][0] <= most:
+                packed[-1] = (packed[-1][0], b)
             else:
-                packed.append((c, d))
+                packed.append((a, b))
     return packed
 
 
+def shared(limit: int, overlap: int) -> int:
+    """Characters that consecutive pieces share: ``overlap``, at most one less than the limit, so that every piece adds something."""
+    return max(0, min(overlap, limit - 1))
+
+
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Spans of the pieces: each but the first starts ``overlap`` characters before its predecessor's end; none is over ``limit``.
+    """Spans of the pieces: each but the first starts ``shared`` characters before its predecessor's end; none is over ``limit``.
 
-    An overlap as large as the limit is cut to one less, so that every piece adds something.
+    The first piece is longer than what the second repeats of it: a shorter one
+    is merged with the next span, which always fits.
     """
     if len(text) <= limit:
         return [(0, len(text))]
-    overlap = max(0, min(overlap, limit - 1))
-    own = spans(text, 0, len(text), limit - overlap)
-    return [(a - overlap if k else a, b) for k, (a, b) in enumerate(own)]
+    back = shared(limit, overlap)
+    own = spans(text, tree(text), limit - back)
+    while own[0][1] <= back:
+        own[:2] = [(0, own[1][1])]
+    return [(a - back if k else a, b) for k, (a, b) in enumerate(own)]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _cut(text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
-    return pd.Series([[t[a:b] for a, b in pieces(t, int(n), int(o))] for t, n, o in zip(text, limit, overlap, strict=True)], dtype=object)
+    return pd.Series([None if t is None else [t[a:b] for a, b in pieces(t, int(n), int(o))] for t, n, o in zip(text, limit, overlap, strict=True)], dtype=object)
 
 
 def limited(chunks: DataFrame, tags: DataFrame) -> DataFrame:
@@ -99,16 +142,18 @@ def limited(chunks: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def split(chunks: DataFrame, tags: DataFrame) -> DataFrame:
-    """``chunk_key, part, of, text``: every chunk in numbered pieces within its limit, one piece if it fits (also the empty text).
+    """``chunk_key, part, of, overlap, text``: every chunk in numbered pieces within its limit, one piece if it fits (also the empty text).
 
-    Consecutive pieces share exactly ``chunk_overlap`` characters, so taking
-    that many off each piece but the first gives back the text.
+    Consecutive pieces share exactly ``overlap`` characters, so taking that many
+    off each piece but the first gives back the text: ``chunk_overlap``, at most
+    one less than the limit.  Texts that fit never reach Python, and the chunks
+    are read once.
     """
-    sized = limited(chunks, tags)
-    fits = sized.where(F.length("text") <= F.col("limit")).select("chunk_key", F.lit(1).alias("part"), F.lit(1).alias("of"), "text")
-    over = sized.where(F.length("text") > F.col("limit")).select("chunk_key", _cut("text", "limit", "chunk_overlap").alias("p"))
-    cut = over.select("chunk_key", F.size("p").alias("of"), F.posexplode("p").alias("i", "text")).select("chunk_key", (F.col("i") + 1).alias("part"), "of", "text")
-    return fits.unionByName(cut)
+    over = F.length("text") > F.col("limit")
+    cut = limited(chunks, tags).withColumn("cut", _cut(F.when(over, F.col("text")), "limit", "chunk_overlap"))
+    back = F.greatest(F.lit(0), F.least("chunk_overlap", F.col("limit") - 1))
+    numbered = cut.select("chunk_key", F.posexplode(F.coalesce("cut", F.array("text"))).alias("i", "piece"), F.coalesce(F.size("cut"), F.lit(1)).alias("of"), back.cast("int").alias("overlap"))
+    return numbered.select("chunk_key", (F.col("i") + 1).alias("part"), "of", "overlap", F.col("piece").alias("text"))
 
 
 def oversize(chunks: DataFrame, tags: DataFrame) -> DataFrame:

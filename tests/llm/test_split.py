@@ -40,3 +40,42 @@ def test_operator(spark):
         assert [r.part for r in rs] == list(range(1, rs[0].of + 1))
         assert rs[0].text + "".join(r.text[30:] for r in rs[1:]) == next(d[4] for d in data if d[0] == k)
     assert split.split(chunks.limit(0), tags).count() == 0
+
+
+def _strings(text, limit, overlap):
+    return [text[a:b] for a, b in split.pieces(text, limit, overlap)]
+
+
+def test_first_part_shorter_than_the_overlap():
+    text = "가" * 49 + "\n\n" + "나" * 108 + "\n\n" + "다" * 100
+    got = _strings(text, 200, 80)
+    assert all(0 < len(p) <= 200 for p in got)
+    assert got[0] + "".join(p[80:] for p in got[1:]) == text
+    assert all(p[-80:] == q[:80] for p, q in zip(got, got[1:], strict=False))
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXT, st.integers(5, 120), st.integers(0, 119))
+def test_strings_hold_the_whole_text(text, limit, overlap):
+    got, o = _strings(text, limit, overlap), split.shared(limit, overlap)
+    assert got[0] + "".join(p[o:] for p in got[1:]) == text
+    assert all(len(p) > o for p in got[:-1]) and all(p[len(p) - o :] == q[:o] for p, q in zip(got, got[1:], strict=False))
+    assert len(text) <= limit or all(got)
+
+
+def test_sections_stay_below_their_heading():
+    part = lambda name, n: f"## {name}\n\n" + "글자 " * n + "\n\n"
+    text = "# 첫째\n\n" + part("가나", 20) + part("다라", 20) + "# 둘째\n\n" + part("마바", 20) + part("사아", 20)
+    got = _strings(text, 170, 0)
+    assert [p.split("\n", 1)[0] for p in got] == ["# 첫째", "# 둘째"]
+    # a heading is never the last thing in a piece
+    assert not any(p.rstrip().rsplit("\n", 1)[-1].startswith("#") for p in _strings(text, 100, 0))
+
+
+def test_most_cuts_are_natural():
+    import random
+
+    r = random.Random(5)
+    text = "\n\n".join(" ".join("낱말" * r.randint(1, 4) for _ in range(r.randint(5, 40))) + "." for _ in range(60))
+    ends = [b for _, b in split.pieces(text, 300, 30)[:-1]]
+    assert sum(text[:b].endswith("\n\n") for b in ends) >= 0.8 * len(ends)
