@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -28,15 +29,31 @@ def ship(spark: SparkSession) -> None:
     home = Path(__file__).resolve().parent
     paths = [str(home.parent), *filter(None, [sc.environment.get("PYTHONPATH")])]
     sc.environment["PYTHONPATH"] = os.pathsep.join(paths)
-    if not sc.master.startswith("local"):
-        where = checkpoint_dir(spark).removeprefix("file://").removeprefix("file:")
-        folder = Path(where) if where.startswith("/") and "://" not in where else Path(tempfile.mkdtemp())
-        folder.mkdir(parents=True, exist_ok=True)
-        target = folder / f"{home.name}-{sc.applicationId}.zip"
-        with zipfile.ZipFile(target, "w") as z:
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
             for f in sorted(home.rglob("*.py")):
                 z.write(f, f.relative_to(home.parent))
-        sc.addPyFile(str(target))
+        sc.addPyFile(_store(spark, packed.getvalue(), f"{home.name}-{sc.applicationId}.zip"))
+
+
+def _store(spark: SparkSession, data: bytes, name: str) -> str:
+    """``data`` as a file of the shared folder, whatever file system that is on; its path."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path.toString()
+
+
+def share_file(spark: SparkSession, data: bytes, name: str) -> str:
+    """Put ``data`` beside every executor, through the shared folder and Spark's own file distribution; ``SparkFiles.get`` of the result is its place there."""
+    unique = f"{uuid.uuid4().hex}-{name}"
+    spark.sparkContext.addFile(_store(spark, data, unique))
+    return unique
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +66,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (unit tests on one machine) a private folder is made.
+    and all runs on one machine (tests) a private folder is made.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -58,6 +75,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="jangbu-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -76,10 +95,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """Broadcast hint for ``df`` only while its counted ``rows`` stay within ``most``; else a shuffled join is left to the planner."""
-    return F.broadcast(df) if rows <= most else df
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast hint for ``df`` only while it has at most ``most`` rows, which is counted; else the join is left to the planner."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
