@@ -30,7 +30,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_forms(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.forms(table(spark, d, "identity_records"), table(spark, d, "registry")).select("record_id", "source_form", "registered_form")
+    return lookalike.forms(table(spark, d, "identity_records"), table(spark, d, "registry")).select("record_id", "source_form", "registered_form", "visible_edits")
 
 
 def p6_manifest(spark: SparkSession, d: str) -> DataFrame:

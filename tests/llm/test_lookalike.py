@@ -31,3 +31,39 @@ def test_operator(spark):
     manifest = spark.createDataFrame([(1, 0), (2, None), (3, 7)], "batch_no long, filename_normalization_mismatches int")
     assert rows(lookalike.manifest(records, registry, manifest)) == sorted([(1, 1, 0), (2, 1, None), (3, 0, 7)], key=repr)
     assert lookalike.mismatches(records.limit(0), registry.limit(0)).count() == 0
+
+
+def test_spelling_decides_where_the_table_cannot():
+    trie = SpellingTrie(["1단계", "2024", "Internal"])
+    assert lookalike.canonical("l단계 2O24 lnternaI", trie) == "1단계 2024 Internal"
+    assert by_table("l단계") == "l단계" and lookalike.canonical("l단계", SpellingTrie(["3단계"])) == "l단계"
+    assert lookalike.canonical("l단계", SpellingTrie(["l단계", "1단계"])) == "l단계"  # a spelling of its own
+
+
+def test_automaton_against_plain_edit_distance():
+    import random
+
+    def distance(a, b):
+        row = [float(j) for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            new = [float(i)]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + lookalike._move(y, x), row[j] + 1, new[j - 1] + 1))
+            row = new
+        return row[-1]
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("ab1l") for _ in range(r.randint(1, 5)))
+    for _ in range(300):
+        words, token = list(dict.fromkeys(word() for _ in range(4))), word()
+        least = min(distance(token, w) for w in words)
+        near = SpellingTrie(words).nearest(token, 2)
+        assert (near is None) == (least > 2) and (near is None or abs(near[1] - least) < 1e-9 and abs(distance(token, near[0]) - least) < 1e-9)
+
+
+def test_visible_edits(spark):
+    registry = spark.createDataFrame([("d", "가나 RFP 1차.hwp")], "document_id string, output_filename string")
+    names = ["가나 RFP 1차.hwp", "가나 RFР l차.hwp", "가나 RFPs 1차.hwp", "다른 이름", None, ""]
+    records = spark.createDataFrame([(i, 1, "d", n) for i, n in enumerate(names)], "record_id long, batch_no long, document_id string, source_filename_nfc string")
+    got = {r.record_id: (r.source_form == r.registered_form, r.visible_edits) for r in lookalike.forms(records, registry).collect()}
+    assert got == {0: (True, 0.0), 1: (True, 0.0), 2: (False, 1.0), 3: (False, None), 5: (False, 0.0)}
