@@ -1,12 +1,12 @@
-"""Evaluation texts inside a corpus, found through a positional index.
-
-Terms are pairs of neighbouring words of the test items, written without the
-blank between them and looked for in texts without blanks, so that spacing,
-markup, punctuation, case and the form of characters do not matter.  The corpus's
-postings of these terms are stored; documents that hold enough of an item's terms
-are aligned with it word by word, over their texts.  Single
-words that stand free in a text count beside the pairs, so that a document whose
-words of an item are all parted from each other is found too.
+"""Evaluation texts inside a corpus, found through a distributed positional inverted index.
+
+The index holds where in a document each term stands: terms are the words of the
+items, positions count letters and digits only, so that spacing, markup,
+punctuation, case and the form of characters do not matter.  A word counts where
+it stands free, or, inside longer stretches, where its neighbour in the item
+stands right beside it: that is, where both lists, taken back by the words'
+offsets in the item, hold the same number.  Everything is worked out from the
+stored positions; texts are read once, to be indexed.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jangbu.llm.lookalike import by_table
-from jangbu.runtime import cut
+from jangbu.runtime import broadcast_if_small, cut
 
 #: Share of an item's words, in order, that makes a leak.
 SHARE = 0.5
-#: An item's n words in a document leave at least n // NEED of its terms there: half the words, every other pair of them broken by an altered word.
-NEED = 5
+#: Share of an item's words, the most frequent in the corpus, that are looked up only for documents that hold enough of the rarer ones.
+LATE = 0.25
+#: Candidates up to which they, and not the index, travel to be joined.
+FEW = 200_000
 
 _TAG = re.compile(r"<[^<>]{1,300}>")
 _SIGNS = re.compile(r"[\W_]+")
@@ -63,81 +66,21 @@ def words(text: str) -> list[str]:
     return [w for w in (_SIGNS.sub("", x) for x in clean(text).split()) if w]
 
 
-def terms(item: list[str]) -> list[str]:
-    """Neighbouring words written together; the single word of an item of one word."""
-    return [a + b for a, b in zip(item, item[1:], strict=False)] or item
-
-
-def aligned(item: list[str], text: str) -> int:
-    """Most words of ``item`` that stand in ``text`` (dense) in order, each beside another one of them or in the gap between such runs."""
-    hits: list[tuple[int, int]] = []  # position, index of the pair's first word
-    for i, t in enumerate(terms(item)):
-        at = text.find(t)
-        while at >= 0:
-            hits.append((at, i))
-            at = text.find(t, at + 1)
-    if not hits:
-        return 0
-    hits.sort()
-    pos = np.array([p for p, _ in hits])
-    idx = np.array([i for _, i in hits])
-    size = np.array([len(w) for w in item])
-    after = pos + size[idx]  # where the pair's second word begins
-    end = pos + np.array([len(terms(item)[i]) for i in idx])
-    single = len(item) == 1
-    best = np.full(len(hits), 1 if single else 2)
-    prev = np.full(len(hits), -1)
-    for k in range(1, len(hits)):
-        apart = (idx[:k] < idx[k] - 1) & (end[:k] <= pos[k])
-        chained = (idx[:k] == idx[k] - 1) & (after[:k] <= pos[k])
-        gain = np.where(apart, best[:k] + 2, np.where(chained, best[:k] + 1, 0))
-        m = int(gain.argmax())
-        if gain[m] > best[k]:
-            best[k], prev[k] = gain[m], m
-    k = int(best.argmax())
-    chain = []
-    while k >= 0:
-        chain.append(k)
-        k = int(prev[k])
-    chain.reverse()
-    total = int(best[chain[-1]])
-    if single:
-        return total
-    # words left over between, before and after the runs, near to where they should stand
-    first, last = chain[0], chain[-1]
-    spans = [(0, int(idx[first]), max(0, int(pos[first]) - 2 * int(size[: idx[first]].sum()) - 20), int(pos[first]))]
-    for a, b in zip(chain, chain[1:], strict=False):
-        lo, hi = int(idx[a]) + 2, int(idx[b])
-        if lo < hi and pos[b] - end[a] <= 3 * int(size[lo:hi].sum()) + 40:
-            spans.append((lo, hi, int(end[a]), int(pos[b])))
-    lo = int(idx[last]) + 2
-    spans.append((lo, len(item), int(end[last]), int(end[last]) + 2 * int(size[lo:].sum()) + 20))
-    for lo, hi, a, b in spans:
-        for w in item[lo:hi]:
-            at = text.find(w, a, b)
-            if at >= 0:
-                total += 1
-                a = at + len(w)
-    return total
+def in_line(at: dict[int, list[int]], sizes: list[int]) -> int:
+    """Most words of an item that stand in a document in its order, whatever stands between.
 
-
-def in_order(item: list[str], text: str, edges: set[int]) -> int:
-    """Most words of ``item`` that stand in ``text`` in order, whatever stands between: each between two ``edges``, or beside its neighbour in the item."""
-
-    def places(t: str) -> Iterator[int]:
-        at = text.find(t)
-        while at >= 0:
-            yield at
-            at = text.find(t, at + 1)
-
-    spans: list[set[tuple[int, int]]] = [{(a, a + len(w)) for a in places(w) if a in edges and a + len(w) in edges} for w in item]
-    for i, (x, y) in enumerate(zip(item, item[1:], strict=False)):
-        for a in places(x + y):
-            spans[i].add((a, a + len(x)))
-            spans[i + 1].add((a + len(x), a + len(x) + len(y)))
+    ``at`` gives for the i-th word of the item its places, twice the position and
+    1 more where it stands free; ``sizes`` are the words' lengths.  Of words that
+    do not stand free only those count that stand right beside a neighbour.
+    """
+    start = list(accumulate(sizes, initial=0))
+    line = {i: {(x >> 1) - start[i] for x in xs} for i, xs in at.items()}  # positions less the word's offset: equal along a phrase
+    none: set[int] = set()
     ends: list[int] = []  # the least end of a chain of 1, 2, ... words
-    for of_word in spans:
-        for n, b in [(bisect_right(ends, a), b) for a, b in of_word]:
+    for i in sorted(at):
+        beside = line.get(i - 1, none) | line.get(i + 1, none)
+        places = {x >> 1 for x in at[i] if x & 1 or (x >> 1) - start[i] in beside}
+        for n, b in [(bisect_right(ends, a), a + sizes[i]) for a in places]:
             if n == len(ends):
                 ends.append(b)
             elif b < ends[n]:
@@ -145,61 +88,82 @@ def in_order(item: list[str], text: str, edges: set[int]) -> int:
     return len(ends)
 
 
-def postings(documents: DataFrame, vocabulary: list[str], items: dict[int, list[str]]) -> DataFrame:
-    """``doc_id, term, position, item_id`` of every occurrence of the terms in every document (null texts have none).
+class Terms:
+    """The words of the items as terms, and the scan of a text for them."""
+
+    def __init__(self, items: Iterable[list[str]]) -> None:
+        items = list(items)
+        self.words = sorted({w for item in items for w in item})
+        self.number = {w: k for k, w in enumerate(self.words)}
+        self.after: dict[int, set[int]] = defaultdict(set)  # terms that follow a term in some item
+        for item in items:
+            for x, y in zip(item, item[1:], strict=False):
+                self.after[self.number[x]].add(self.number[y])
+        self.automaton = None
+
+    def scan(self, text: str) -> dict[int, list[int]]:
+        """Places of every term, twice the position and 1 more where it stands free between blanks or signs; other places only beside a term that follows or is followed in an item."""
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for w, k in self.number.items():
+                self.automaton.add_word(w, (k, len(w)))
+            self.automaton.make_automaton()
+        dense, edges = pieces(text)
+        hits = [(end - n + 1, end + 1, k) for end, (k, n) in self.automaton.iter(dense)]
+        starts: dict[int, set[int]] = defaultdict(set)
+        for a, _, k in hits:
+            starts[a].add(k)
+        beside = set()
+        for a, b, k in hits:
+            for other in self.after[k] & starts[b] if b in starts and k in self.after else ():
+                beside.add((a, k))
+                beside.add((b, other))
+        out: dict[int, list[int]] = {}
+        for a, b, k in hits:
+            free = a in edges and b in edges
+            if free or (a, k) in beside:
+                out.setdefault(k, []).append(2 * a + free)
+        return out
 
-    Rows with an ``item_id`` and no term name an item of which ``SHARE`` of the
-    words stand in the document, in any order: free, or in a term.
-    """
-    single = sorted({w for item in items.values() for w in item} - set(vocabulary))
-    places: dict[str, list[int]] = {}  # of words among all words of all items
-    pairs: dict[str, set[int]] = {}
-    owner: list[int] = []
-    for k, item in enumerate(items.values()):
-        for i, w in enumerate(item):
-            places.setdefault(w, []).append(len(owner) + i)
-            if i:
-                pairs.setdefault(item[i - 1] + w, set()).update((len(owner) + i - 1, len(owner) + i))
-        owner += [k] * len(item)
-    numbers, owners = np.array(list(items), np.int64), np.array(owner)
-    least = SHARE * np.bincount(owners, minlength=len(items))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
+def in_order(item: list[str], text: str, edges: set[int]) -> int:
+    """``in_line`` of one item in one text (``pieces``), looked for word by word."""
+
+    def places(w: str) -> Iterator[int]:
+        a = text.find(w)
+        while a >= 0:
+            yield 2 * a + (a in edges and a + len(w) in edges)
+            a = text.find(w, a + 1)
 
-        a = ahocorasick.Automaton()
-        for k, t in enumerate([*vocabulary, *single]):
-            a.add_word(t, (k, len(t), t))
-        a.make_automaton()
+    return in_line({i: list(places(w)) for i, w in enumerate(item)}, [len(w) for w in item])
+
+
+def index(documents: DataFrame, terms: Terms) -> DataFrame:
+    """``doc_id, term, places`` of every term of every document (null texts have none), one row per document and term."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            doc, term, position, whole = [], [], [], []
+            doc, term, places = [], [], []
             for key, text in zip(b["doc_id"], b["text"], strict=True):
-                if not text:
-                    continue
-                t, edges = pieces(text)
-                free, beside = set(), set()
-                for end, (k, size, said) in a.iter(t):
-                    if end + 1 in edges and end - size + 1 in edges:
-                        free.add(said)
-                    if k < len(vocabulary):
-                        beside.add(said)
-                        doc.append(key)
-                        term.append(k)
-                        position.append(end - size + 1)
-                if free or beside:
-                    seen = set().union(*(places.get(w, ()) for w in free), *(pairs.get(w, ()) for w in beside))
-                    n = np.bincount(owners[list(seen)], minlength=len(least)) if seen else 0
-                    whole += [(key, i) for i in numbers[(n >= least) & (n > 0)].tolist()]
-            yield pd.DataFrame({"doc_id": np.array(doc + [d for d, _ in whole], np.int64), "term": pd.array(term + [None] * len(whole), "Int32"), "position": pd.array(position + [None] * len(whole), "Int32"), "item_id": pd.array([None] * len(doc) + [i for _, i in whole], "Int64")})
-
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(scan, "doc_id long, term int, position int, item_id long")
+                for k, xs in terms.scan(text).items():
+                    doc.append(key)
+                    term.append(k)
+                    places.append(np.array(xs, np.int32))
+            yield pd.DataFrame({"doc_id": np.array(doc, np.int64), "term": np.array(term, np.int32), "places": pd.Series(places, dtype=object)})
+
+    return documents.where("doc_id is not null and text <> ''").select("doc_id", "text").mapInPandas(scan, "doc_id long, term int, places array<int>")
 
 
 def leaks(documents: DataFrame, heldout_items: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_words, n_found``: documents that contain at least ``SHARE`` of an item's words in its order.
 
     Items without text or words leak nowhere.  The items, a fixed set, reach the
-    driver and every worker; nothing of the corpus does.
+    driver and every worker; nothing of the corpus does but the number of
+    documents of each of their words.  The lists of an item's rarer words are
+    intersected first: a leak holds ``SHARE`` of all words, hence at least that
+    number less the ``LATE`` most frequent ones among the others.
     """
     spark = documents.sparkSession
     items = {r.item_id: words(r.text) for r in heldout_items.where("item_id is not null and text is not null").select("item_id", "text").collect()}  # fixed: 120 rows
@@ -207,37 +171,24 @@ def leaks(documents: DataFrame, heldout_items: DataFrame) -> DataFrame:
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("n_words", T.IntegerType()), T.StructField("n_found", T.IntegerType())])
     if not items:
         return spark.createDataFrame([], out)
-    vocabulary = sorted({t for w in items.values() for t in terms(w)})
-    number = {t: k for k, t in enumerate(vocabulary)}
-    stored = cut(postings(documents, vocabulary, items))
-    index = stored.where("term is not null").drop("item_id")
-    rows = [(k, number[t], len(w)) for k, w in items.items() for t in set(terms(w))]
-    of_item = spark.createDataFrame(rows, "item_id long, term int, n_words int")
-    # an item's rarest terms: so many that a leak cannot do without all of them
-    df = {r.term: r.n for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row per term of the items
-    need = lambda w: max(1, len(w) // NEED)
-    rare = []
-    for k, w in items.items():
-        order = sorted({number[t] for t in terms(w)}, key=lambda t: (df.get(t, 0), t))
-        rare += [(k, t) for t in order[: max(1, len(order) - need(w) + 1)]]
-    rarest = spark.createDataFrame(rare, "item_id long, term int")
-    first = index.join(F.broadcast(rarest), "term").select("doc_id", "item_id").distinct()
-    hit = index.select("doc_id", "term").distinct().join(F.broadcast(of_item), "term").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_terms"), F.first("n_words").alias("n_words"))
-    by_terms = hit.where(F.col("n_terms") >= F.greatest(F.lit(1), F.floor(F.col("n_words") / NEED))).join(first, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id")
-    by_words = stored.where("item_id is not null").select("doc_id", "item_id")
-    candidates = by_terms.unionByName(by_words).groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids"))
-    shared = spark.sparkContext.broadcast(items)
-
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = []
-            for key, text, ids in zip(b["doc_id"], b["text"], b["item_ids"], strict=True):
-                t, edges = pieces(text)
-                for i in sorted(ids):
-                    item = shared.value[i]
-                    n = aligned(item, t)
-                    found.append((key, int(i), len(item), n if n >= SHARE * len(item) else max(n, in_order(item, t, edges))))
-            yield pd.DataFrame(found, columns=["doc_id", "item_id", "n_words", "n_found"]).astype({"doc_id": "int64", "item_id": "int64", "n_words": "int32", "n_found": "int32"})
-
-    texts = documents.where("text is not null").select("doc_id", "text").join(candidates, "doc_id")
-    return texts.mapInPandas(align, out).where(F.col("n_found") >= SHARE * F.col("n_words"))
+    terms = Terms(items.values())
+    stored = cut(index(documents, terms))
+    df = {r.term: r.n for r in stored.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row per word of the items
+    places = []
+    for k, item in items.items():
+        order = sorted(range(len(item)), key=lambda i, item=item: (df.get(terms.number[item[i]], 0), i))
+        late = int(LATE * len(item))
+        least = max(1, -int(-SHARE * len(item) // 1) - late)
+        places += [(k, terms.number[item[i]], i, len(item), rank >= len(item) - late, least) for rank, i in enumerate(order)]
+    of_item = F.broadcast(spark.createDataFrame(places, "item_id long, term int, i int, n_words int, late boolean, least int"))  # as many rows as the items have words
+    rare = stored.select("doc_id", "term").join(of_item.where("not late"), "term")
+    candidates = cut(rare.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("doc_id", "item_id"))
+    sizes = {k: [len(w) for w in item] for k, item in items.items()}
+
+    @F.pandas_udf(T.IntegerType())
+    def found(item_id: pd.Series, hits: pd.Series) -> pd.Series:
+        return pd.Series([in_line({h["i"]: h["places"] for h in hs}, sizes[k]) if len(hs) >= SHARE * len(sizes[k]) else 0 for k, hs in zip(item_id, hits, strict=True)], dtype="int32")
+
+    lists = stored.join(broadcast_if_small(candidates, FEW), "doc_id").join(of_item.select("item_id", "term", "i", "n_words"), ["item_id", "term"])
+    whole = lists.groupBy("doc_id", "item_id", "n_words").agg(F.collect_list(F.struct("i", "places")).alias("hits"))  # at most the items' words a group
+    return whole.select("doc_id", "item_id", "n_words", found.asNondeterministic()("item_id", "hits").alias("n_found")).where(F.col("n_found") >= SHARE * F.col("n_words")).select(*out.names)

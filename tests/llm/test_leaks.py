@@ -78,3 +78,30 @@ def test_words_in_order_against_brute_force():
         assert free >= lcs(item, text)
         spread = leaks.in_order(item, *leaks.pieces(" 마 ".join(text)))
         assert spread == lcs(item, text)
+
+
+def test_recall_on_altered_items(spark):
+    """Interleaved, halved, altered and glued items are all found; a third of an item, and an item backwards, never."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("가나다라마바사아자차카타파하") for _ in range(r.randint(2, 4)))
+    items = {i: [word() for _ in range(20)] for i in range(10)}
+    true, false = {}, {}
+    for i, w in items.items():
+        other = [word() for _ in w]
+        kinds = [[x for p in zip(w, other, strict=True) for x in p], w[:10], w[::2], [x if r.random() < 0.7 or k < 10 else word() for k, x in enumerate(w)], ["".join(w[:8]), *other, "".join(w[8:16])]]
+        for k, t in enumerate(kinds):
+            true[10 * i + k] = (i, " ".join(other[:5] + t + other[5:]))
+        for k, t in enumerate((w[:7], w[::-1], ["".join(x + y for x, y in zip(w, other, strict=True))])):
+            false[1000 + 10 * i + k] = (i, " ".join(other + t))
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in (true | false).items()], "doc_id long, text string")
+    got = leaks.leaks(docs, spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(k, i) for k, (i, _) in true.items()}
+
+
+def test_offsets_and_free_places():
+    sizes = [2, 3, 1]
+    assert leaks.in_line({0: [10], 1: [14], 2: [20]}, sizes) == 3  # at 5, 7, 10: one phrase inside a longer stretch
+    assert leaks.in_line({0: [10], 1: [16], 2: [24]}, sizes) == 0  # parted, none free
+    assert leaks.in_line({0: [11], 1: [17], 2: [25]}, sizes) == 3  # parted, all free
+    assert leaks.in_line({0: [25], 1: [17], 2: [11]}, sizes) == 1  # backwards
+    assert leaks.in_line({}, sizes) == 0
