@@ -50,8 +50,13 @@ def look(ch: str) -> str:
     return ch
 
 
+_PLAIN = re.compile(r"[ -~가-힣]*")
+
+
 def by_table(text: str) -> str:
     """Every character by its class, accents kept and composed, blanks single, none at the ends."""
+    if _PLAIN.fullmatch(text):  # characters that are their own class
+        return " ".join(filter(None, text.split(" ")))
     folded = "".join(map(look, unicodedata.normalize("NFD", text)))
     return re.sub(" +", " ", unicodedata.normalize("NFC", folded)).strip()
 

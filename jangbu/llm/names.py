@@ -206,10 +206,19 @@ def organisation_links(identity_records: DataFrame, buyer_orgs: DataFrame) -> Da
         return pd.Series(out, dtype="Int64")
 
     named = identity_records.where("buyer_org is not null and trim(buyer_org) <> ''").select("record_id", "buyer_org")
-    linked = named.select("buyer_org").distinct().withColumn("linked_id", meant("buyer_org")).where("linked_id is not null")
+    linked = _spread(named.select("buyer_org").distinct(), "buyer_org").withColumn("linked_id", meant.asNondeterministic()("buyer_org")).where("linked_id is not null")
     return named.join(linked, "buyer_org").select("record_id", "linked_id")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Small rows with dear functions before them, in several parts a core: parts are otherwise merged by their bytes.
+
+    The functions over them are marked as not deterministic, so that no filter on
+    a result is pushed below ``distinct``, where it would run them once more.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 # Projects
 
 # How names state year and phase, what marks a repeated tender, and what ends a name without saying anything.
@@ -287,7 +296,7 @@ def _keys(organisations: frozenset[str]):
         found = (project_key(x) for x in name)
         return pd.DataFrame([(y, p, without_organisation(w, organisations)) for y, p, w in found], columns=["year", "phase", "wording"])
 
-    return keys
+    return keys.asNondeterministic()
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -326,8 +335,8 @@ def project_names(identity_records: DataFrame, organisations: frozenset[str] = f
     shared pairs holds at most (mean length / ORDINARY) entries, some thousands
     at any size.
     """
-    keyed = identity_records.where("project_name is not null and trim(project_name) <> ''").select("project_name").distinct().withColumn("k", _keys(organisations)("project_name")).select("project_name", "k.*").where("wording <> ''")
-    keyed = cut(keyed)
+    keyed = identity_records.where("project_name is not null and trim(project_name) <> ''").select("project_name").distinct()
+    keyed = cut(_spread(keyed, "project_name").withColumn("k", _keys(organisations)("project_name")).select("project_name", "k.*").where("wording <> ''"))
     wordings = keyed.select("year", "phase", "wording").distinct()
     least = max(ORDINARY_LEAST, ORDINARY * wordings.count())
     shared = lambda pairs: frozenset(r.pair for r in wordings.select(F.explode(pairs("wording")).alias("pair")).groupBy("pair").count().where(F.col("count") > least).select("pair").collect())
@@ -439,6 +448,22 @@ def project_links(identity_records: DataFrame, buyer_orgs: DataFrame | None = No
     return pairs.select(F.col("a.record_id").alias("record_id"), F.col("b.record_id").alias("linked_id"))
 
 
+def project_classes(identity_records: DataFrame, buyer_orgs: DataFrame | None = None) -> DataFrame:
+    """``record_id, project, n_links`` of every record with document and project name: its class, and the number of records ``project_links`` links it to.
+
+    Counted from the sizes of the class and of its documents and texts, so no
+    pair is made.  Blank names belong to no class and are left out.
+    """
+    of = projects(identity_records, buyer_orgs)
+    r = cut(identity_records.where("document_id is not null and project_name is not null").select("record_id", "document_id", "project_name").join(of, "project_name"))
+    whole = r.groupBy("project").agg(F.count("*").alias("n"))
+    same_text = r.groupBy("project", "project_name").agg(F.count("*").alias("t"))
+    same_document = r.groupBy("project", "document_id").agg(F.count("*").alias("d"))
+    both = r.groupBy("project", "project_name", "document_id").agg(F.count("*").alias("b"))
+    counted = r.join(whole, "project").join(same_text, ["project", "project_name"]).join(same_document, ["project", "document_id"]).join(both, ["project", "project_name", "document_id"])
+    return counted.select("record_id", "project", (F.col("n") - F.col("t") - F.col("d") + F.col("b")).alias("n_links"))
+
+
 def links(identity_records: DataFrame, buyer_orgs: DataFrame) -> DataFrame:
     """``field_name, record_id, linked_id`` of both kinds of names."""
     org = organisation_links(identity_records, buyer_orgs).select(F.lit("buyer_org").alias("field_name"), "record_id", F.col("linked_id").cast("long").alias("linked_id"))

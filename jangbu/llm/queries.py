@@ -25,6 +25,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.links(table(spark, d, "identity_records"), table(spark, d, "buyer_orgs"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return names.project_classes(table(spark, d, "identity_records"), table(spark, d, "buyer_orgs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.mismatches(table(spark, d, "identity_records"), table(spark, d, "registry")).select("record_id")
 
@@ -65,7 +69,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p6_found, p6_forms, p6_manifest, p8_ids, p9_found, p9_by_item, p10_found, p10_scores, p10_rates)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p5_classes, p6_found, p6_forms, p6_manifest, p8_ids, p9_found, p9_by_item, p10_found, p10_scores, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

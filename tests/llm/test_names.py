@@ -72,3 +72,16 @@ def test_many_spellings_of_one_project_leave_its_name_its_own(spark):
     assert all(5 <= len(core[x]) <= 8 and x.startswith(core[x]) for x in spelt_wrong)
     # and other names lose their ordinary wording as before
     assert sum(core[x] == x[:7] for x in others) > 0.9 * len(others)
+
+
+def test_classes_count_the_links(spark):
+    texts = ["2023년 가나다라 재난관제 사업", "2023 가나다라 재난관제 사업", "2023년 가나다라 재난관제", "2024년 가나다라 재난관제 사업", "2023년 마바사아 도서관 사업", " ", None]
+    data = [(i, None if i == 20 else f"d{i % 5}", texts[i % 7]) for i in range(24)]
+    df = spark.createDataFrame(data, "record_id long, document_id string, project_name string")
+    pairs = names.project_links(df).collect()
+    n = {}
+    for a, b in pairs:
+        n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
+    got = {r.record_id: r.n_links for r in names.project_classes(df).collect()}
+    assert got == {k: n.get(k, 0) for k, d, t in data if d and t and t.strip()} and sum(got.values()) == 2 * len(pairs) > 0
+    assert names.project_classes(df.limit(0)).count() == 0
