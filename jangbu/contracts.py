@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 from jangbu.functions import columns as C
 from jangbu.operators import diffs, reports, scoring, selection
 from jangbu.runtime import table
-from jangbu.tender import _CELLS, registered
+from jangbu.registry import registered
+from jangbu.tender import _CELLS
 
 
 @registered(f"""with {_CELLS}, g as (select distinct document_id from cur where field_name = '예산' and status = 'conflict'), x as (select distinct document_id from registry where not retrieval_eligible) select document_id from g intersect select document_id from x""")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from jangbu.functions import columns as C
 from jangbu.operators import diffs, extract, reports, scoring, selection
 from jangbu.runtime import table
-from jangbu.tender import _CELLS, _SCOPE, registered
+from jangbu.registry import registered
+from jangbu.tender import _CELLS, _SCOPE
 
 
 @registered("""select document_id, count(*) as n_rows, max(document_version) as newest, bool_or(retrieval_eligible and deleted_at is null) as eligible, count(distinct duplicate_of_document_id) as n_originals from registry where document_id is not null group by 1""")

@@ -7,15 +7,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jangbu.functions.columns import STATUS_SETS, active, compare, plain_amount
+from jangbu.functions.columns import STATUS_SETS, active, compare, plain_amount, region_restriction
+from jangbu.operators import consortium
 
 #: Fields numbers can be compared on.
 NUMERIC_FIELDS = ("예산",)
 
 
+#: Predicates on what a field's text means, by the field they are about.
+MEANINGS = {"restricted": "지역제한", "unrestricted": "지역제한", "required": "컨소시엄 요건", "allowed": "컨소시엄 요건", "forbidden": "컨소시엄 요건"}
+
+
+def meaning(operator: str, status: Column, text: Column) -> Column:
+    """Whether a cell's text means what an operator asks for; undetermined without a value, and where the text does not say."""
+    valued = F.when(status == "value_present", text)
+    if operator in ("restricted", "unrestricted"):
+        kind = region_restriction(valued)
+        return F.when(valued.isNotNull() & (kind != "unknown"), (kind == "restricted") == F.lit(operator == "restricted"))
+    said = consortium.classified(valued)
+    return said["required"] if operator == "required" else said["allowed"] if operator == "allowed" else ~said["allowed"]
+
+
 @dataclass(frozen=True)
 class Condition:
-    """One predicate on one field: a status set (may be negated) or a comparison of its amount."""
+    """One predicate on one field: a status set or a meaning (both may be negated), or a comparison of its amount."""
 
     field: str
     operator: str
@@ -23,6 +38,10 @@ class Condition:
     negated: bool = False
 
     def __post_init__(self) -> None:
+        if self.operator in MEANINGS:
+            if self.field != MEANINGS[self.operator]:
+                raise ValueError(f"{self.operator!r} is said of {MEANINGS[self.operator]!r}")
+            return
         if self.operator not in STATUS_SETS and self.operator not in (">=", "<=", ">", "<", "=="):
             raise ValueError(f"unknown operator {self.operator!r}")
         if self.operator not in STATUS_SETS:
@@ -33,7 +52,10 @@ class Condition:
             if self.value is None:
                 raise ValueError("a comparison needs a value")
 
-    def on(self, status: Column, amount: Column) -> Column:
+    def on(self, status: Column, amount: Column, text: Column | None = None) -> Column:
+        if self.operator in MEANINGS:
+            hit = meaning(self.operator, status, text)
+            return ~hit if self.negated else hit
         if self.operator in STATUS_SETS:
             hit = status.isin(*STATUS_SETS[self.operator])
             return ~hit if self.negated else hit
@@ -64,13 +86,14 @@ def verdicts(rows: DataFrame, conditions: list[Condition], documents: DataFrame
     wide = cells.groupBy("document_id").agg(
         *(F.max(F.when(F.col("field_name") == f, F.col("status"))).alias(f"s{i}") for i, f in enumerate(fields)),
         *(F.max(F.when(F.col("field_name") == f, F.coalesce(plain_amount(F.col("answer_normalized")), plain_amount(F.col("answer_raw"))))).alias(f"a{i}") for i, f in enumerate(fields)),
+        *(F.max(F.when(F.col("field_name") == f, F.coalesce("answer_raw", "answer_normalized"))).alias(f"t{i}") for i, f in enumerate(fields)),
     )
     if documents is not None:
         wide = documents.join(wide, "document_id", "left")
     holds = None
     for c in conditions:
         i = fields.index(c.field)
-        p = c.on(F.col(f"s{i}"), F.col(f"a{i}"))
+        p = c.on(F.col(f"s{i}"), F.col(f"a{i}"), F.col(f"t{i}"))
         holds = p if holds is None else holds & p
     return wide.select("document_id", F.when(holds, "confirmed").when(holds.isNull(), "undetermined").alias("verdict")).where("verdict is not null")
 

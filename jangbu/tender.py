@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,31 +9,9 @@ from pyspark.sql.window import Window
 from jangbu.functions import columns as C
 from jangbu.operators import diffs, locate, reports, retrieval, selection
 from jangbu.operators.selection import Condition
+from jangbu.registry import registered
 from jangbu.runtime import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def registered(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 _CELLS = """
 cells as (
   select document_id, field_name, arg_min({'status': status, 'raw': answer_raw, 'norm': answer_normalized}, row_id) as c

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from jangbu.functions import columns as C
 from jangbu.runtime import table
-from jangbu.tender import registered
+from jangbu.registry import registered
 
 
 @registered("""select retrieval_eligible, coalesce(lower(trim(cast(retrieval_eligible as varchar))), 'true') not in ('false', '0', 'no', 'n') as flag, count(*) as n from registry group by 1, 2""")
