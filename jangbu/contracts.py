@@ -69,21 +69,6 @@ def a10_citation_summary(spark, d):
     return s.agg(F.count("*").alias("n_items"), F.round(F.avg(k / n), 6).alias("accuracy"), F.round(F.count_if(k == 0) / F.count("*"), 6).alias("rate_none"), F.round(F.count_if((k > 0) & (k < n)) / F.count("*"), 6).alias("rate_partial"))
 
 
-@registered("""select source, count(*) as n, count(*) filter (where lang is null) as n_unlabelled, round(count(*) filter (where document_id is null) / count(*), 6) as rate_orphan, count(*) filter (where document_id is null) / count(*) > 0.15 as suspicious from documents group by 1""")
-def a14_circularity(spark, d):
-    rate = F.count_if(F.col("document_id").isNull()) / F.count("*")
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang").isNull()).alias("n_unlabelled"), F.round(rate, 6).alias("rate_orphan"), (rate > 0.15).alias("suspicious"))
-
-
-@registered("""with m as (select 'load' as metric, avg(load_rate) as value from data_manifest union all select 'tables', sum(zero_table_doc_count) / sum(doc_count) from data_manifest union all select 'decode', sum(csv_decode_failure_rows)::double from data_manifest)
-  select metric, round(value, 6) as value, case when metric = 'load' and value < 0.99 then 'check loading' when metric = 'tables' and value > 0.2 then 'check tables' when metric = 'decode' and value > 0 then 'check encoding' else 'fine' end as diagnosis from m""")
-def a21_diagnosis(spark, d):
-    m = table(spark, d, "data_manifest").agg(F.avg("load_rate").alias("load"), (F.sum("zero_table_doc_count") / F.sum("doc_count")).alias("tables"), F.sum("csv_decode_failure_rows").cast("double").alias("decode"))
-    v, k = F.col("value"), F.col("metric")
-    said = F.when((k == "load") & (v < 0.99), "check loading").when((k == "tables") & (v > 0.2), "check tables").when((k == "decode") & (v > 0), "check encoding").otherwise("fine")
-    return m.unpivot([], ["load", "tables", "decode"], "metric", "value").select("metric", F.round("value", 6).alias("value"), said.alias("diagnosis"))
-
-
 @registered("""select t.chunking_version, t.corpus_version as tag_corpus, count(c.chunk_key) as n_chunks, count(distinct c.corpus_version) as n_corpus_versions, count(*) filter (where c.preprocess_version <> t.preprocess_version) as n_mismatched from index_tags t left join chunks c using (chunking_version) group by 1, 2""")
 def a25_version_invariants(spark, d):
     c = table(spark, d, "chunks").select("chunking_version", "chunk_key", F.col("corpus_version").alias("cv"), F.col("preprocess_version").alias("pv"))
@@ -91,19 +76,6 @@ def a25_version_invariants(spark, d):
     return j.groupBy("chunking_version", F.col("corpus_version").alias("tag_corpus")).agg(F.count("chunk_key").alias("n_chunks"), F.countDistinct("cv").alias("n_corpus_versions"), F.count_if(F.col("pv") != F.col("preprocess_version")).alias("n_mismatched"))
 
 
-@registered("""select event_type, count(*) as n, count(distinct user_id) as n_users, round(sum(value), 4) as total, round(max(value), 6) as largest, count(*) filter (where json_extract_string(props, '$.k') is null) as n_without_key from events group by 1""")
-def a28_run_summary(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"), F.round(F.sum("value"), 4).alias("total"), F.round(F.max("value"), 6).alias("largest"), F.count_if(F.get_json_object("props", "$.k").isNull()).alias("n_without_key"))
-
-
-@registered("""with a as (select document_id, max(document_version) as v from registry group by 1), b as (select document_id, max(document_version) as v from chunks group by 1) select a.v is distinct from b.v as differs, count(*) as n, count(*) filter (where b.document_id is null) as n_unchunked from a left join b using (document_id) group by 1""")
-def a37_experiment_diff(spark, d):
-    v = lambda t, n: table(spark, d, t).groupBy("document_id").agg(F.max("document_version").alias(n), F.lit(1).alias(f"k{n}"))
-    j = v("registry", "a").join(v("chunks", "b"), "document_id", "left")
-    return j.groupBy((~F.col("a").eqNullSafe(F.col("b"))).alias("differs")).agg(F.count("*").alias("n"), F.count_if(F.col("kb").isNull()).alias("n_unchunked"))
-
-
 @registered("""select s_nationkey, s_suppkey, row_number() over (partition by s_nationkey order by case when s_acctbal < 0 then 2 when s_acctbal > 5000 then 0 else 1 end, s_acctbal desc, s_suppkey) as place from supplier""")
 def o02_composite_order(spark, d):
     w = Window.partitionBy("s_nationkey").orderBy(F.when(F.col("s_acctbal") < 0, 2).when(F.col("s_acctbal") > 5000, 0).otherwise(1), F.desc("s_acctbal"), "s_suppkey")
@@ -130,20 +102,6 @@ def g06_abstention_kinds(spark, d):
     return e.select("item_key", scoring.abstention(F.col("document_id").isNull(), F.col("answer_raw").isNull(), F.lit(False), F.coalesce(F.col("task_type") == "selection", F.lit(False))).alias("kind"))
 
 
-@registered("""select item_key, concat_ws(',', case when id is null then 'id' end, case when answer_type = 'document_set' and not regexp_matches(coalesce(answer_normalized, ''), 'RFP-') then 'shape' end, case when length(coalesce(answer_raw, '')) > 400 then 'long' end) as problems from evaluation_items""")
-def g07_format_checks(spark, d):
-    c = F.col
-    rules = {"id": c("id").isNull(), "shape": (c("answer_type") == "document_set") & ~F.coalesce("answer_normalized", F.lit("")).rlike("RFP-"), "long": F.length(F.coalesce("answer_raw", F.lit(""))) > 400}
-    return table(spark, d, "evaluation_items").select("item_key", F.concat_ws(",", *(F.when(r, F.lit(n)) for n, r in rules.items())).alias("problems"))
-
-
-@registered(f"""with {_CELLS}, a as (select document_id, count(*) as n, count(*) filter (where status = 'value_present') as k from cur group by 1), k as (select case when k = 0 then 'none' when k < n then 'some' else 'all' end as kind, n from a) select kind, count(*) as n_documents, sum(n)::bigint as n_cells from k group by 1""")
-def g10_selection_kinds(spark, d):
-    a = selection.current_cells(table(spark, d, "extraction_rows")).groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(C.status_is("present")).alias("k"))
-    kind = F.when(F.col("k") == 0, "none").when(F.col("k") < F.col("n"), "some").otherwise("all")
-    return a.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_cells"))
-
-
 @registered("""with e as (select item_key, document_id, created_at, list_filter(list_transform(coalesce(evidence, []), lambda e: e.location.document), lambda x: x is not null) as docs from evaluation_items)
   select 'no_time' as check_name, count(*) filter (where created_at is null) as n from e union all select 'evidence_elsewhere', count(*) filter (where len(docs) > 0 and document_id is not null and not list_contains(docs, document_id)) from e union all select 'no_evidence', count(*) filter (where len(docs) = 0) from e""")
 def v03_scope_checks(spark, d):
@@ -197,13 +155,6 @@ def a09_stage_aggregate(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("recall"), F.round(F.avg("l_tax"), 6).alias("precision"), F.round(r, 6).alias("recall_all_rate"))
 
 
-@registered("""with l as (select doc_id, max(abusive) as hi, min(abusive) as lo, count(*) as n from abuse_labels group by 1) select case when n = 1 then 'single' when hi = lo then 'agreed' else 'disputed' end as kind, hi, count(*) as n_documents from l group by 1, 2""")
-def a13_label_agreement(spark, d):
-    lab = table(spark, d, "abuse_labels").groupBy("doc_id").agg(F.max("abusive").alias("hi"), F.min("abusive").alias("lo"), F.count("*").alias("n"))
-    kind = F.when(F.col("n") == 1, "single").when(F.col("hi") == F.col("lo"), "agreed").otherwise("disputed")
-    return lab.groupBy(kind.alias("kind"), "hi").agg(F.count("*").alias("n_documents"))
-
-
 @registered("""select field_name, count(distinct document_id) as n_documents, count(distinct extraction_version) as n_versions, count(distinct row_id) as n_rows from extraction_rows group by 1""")
 def a35_profile_counts(spark, d):
     return table(spark, d, "extraction_rows").groupBy("field_name").agg(F.countDistinct("document_id").alias("n_documents"), F.countDistinct("extraction_version").alias("n_versions"), F.countDistinct("row_id").alias("n_rows"))

@@ -105,24 +105,6 @@ def j25_gold_chunks(spark, d):
     return g.join(c, ["document_id", "section"]).groupBy("item_key").agg(F.countDistinct("chunk_key").alias("n_chunks"), F.min("chunk_key").alias("first_chunk"))
 
 
-@registered("""select task_type, answer_type, count(*) as n, round(count(*) filter (where answer_normalized is null) / count(*), 6) as rate_missing, count(distinct document_id) as n_documents, min(strftime(created_at, '%Y-%m-%d')) as first_day from evaluation_items group by 1, 2""")
-def a06_item_histogram(spark, d):
-    e = table(spark, d, "evaluation_items")
-    return e.groupBy("task_type", "answer_type").agg(F.count("*").alias("n"), F.round(F.count_if(F.col("answer_normalized").isNull()) / F.count("*"), 6).alias("rate_missing"), F.countDistinct("document_id").alias("n_documents"), F.min(F.date_format("created_at", "yyyy-MM-dd")).alias("first_day"))
-
-
-@registered("""with c as (select c_mktsegment, c_nationkey, avg(c_acctbal) as m from customer group by 1, 2) select c_mktsegment, round(avg(m), 6) as integrated, count(*) as n_groups from c group by 1""")
-def a04_integrated(spark, d):
-    c = table(spark, d, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.avg("c_acctbal").alias("m"))
-    return c.groupBy("c_mktsegment").agg(F.round(F.avg("m"), 6).alias("integrated"), F.count("*").alias("n_groups"))
-
-
-@registered("""select kind, count(*) as n from (select case when s.status = 'extraction_failed' then 'system' when s.answer_raw is null and s.status = 'value_present' then 'content' else 'none' end as kind from extraction_rows s) group by 1""")
-def a07_zero_split(spark, d):
-    kind = F.when(F.col("status") == "extraction_failed", "system").when(F.col("answer_raw").isNull() & (F.col("status") == "value_present"), "content").otherwise("none")
-    return table(spark, d, "extraction_rows").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
 @registered("""with l as (select chunking_version, cast(chunk_size as varchar) as chunk_size, cast(chunk_overlap as varchar) as chunk_overlap, preprocess_version, corpus_version, registry_version, extraction_version from index_tags), u as (select * from l unpivot (value for axis in (chunk_size, chunk_overlap, preprocess_version, corpus_version, registry_version, extraction_version)))
   select a.chunking_version as before, b.chunking_version as after, count(*) filter (where a.value <> b.value) as n_changed, count(*) filter (where a.value <> b.value) <= 1 as clean from u a join u b on a.axis = b.axis and a.chunking_version < b.chunking_version group by 1, 2""")
 def a18_changed_axes(spark, d):
@@ -186,13 +168,6 @@ def f19_response_kinds(spark, d):
     return table(spark, d, "extraction_rows").select("row_id", kind.alias("kind"), (F.col("answer_raw").isNull() | F.trim("answer_raw").isin("", "[]", "{}")).alias("is_empty"))
 
 
-@registered("""select i.item_key, e.n_questions > 1 as repeated, lower(regexp_replace(i.question, '[ \\t\\n\\r]', '', 'g')) as key from evaluation_items i join (select question, count(*) as n_questions from evaluation_items where question is not null group by 1) e using (question)""")
-def k08_question_keys(spark, d):
-    e = table(spark, d, "evaluation_items").where("question is not null")
-    n = e.groupBy("question").agg(F.count("*").alias("k"))
-    return e.join(n, "question").select("item_key", (F.col("k") > 1).alias("repeated"), C.compact(F.col("question")).alias("key"))
-
-
 @registered("""with c as (select chunk_key, document_id, true as active from chunks), named as (select distinct document_id from chunks where chunking_version = 'c5') select chunk_key, c.document_id, not coalesce(n.document_id is not null, false) as active from c left join named n using (document_id)
   union all select -chunk_key, document_id, true from chunks where chunking_version = 'c5'""")
 def r02_soft_upsert(spark, d):
