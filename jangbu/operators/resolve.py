@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jangbu.functions.columns import expression_key
 
-#: Most keys whose automaton is broadcast; beyond, keys are hashed into as many groups as are needed and every group is matched in turn.
+#: Most names of a fixed list that are matched by one automaton.
 GROUP = 200_000
+#: Characters of the n-grams by which texts and keys meet; shorter keys are left out.
+GRAM = 4
+
+
+def _grams(c: Column) -> Column:
+    """Distinct ``GRAM``-grams of a text, none for shorter ones."""
+    n = F.length(c) - (GRAM - 1)
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(c, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
 
 
 def name_keys(identity_records: DataFrame) -> DataFrame:
@@ -20,39 +28,75 @@ def name_keys(identity_records: DataFrame) -> DataFrame:
     return named.select(F.col("n.kind").alias("kind"), expression_key(F.col("n.name")).alias("key"), "document_id").where("length(key) >= 4").distinct()
 
 
+def contained(texts: DataFrame, keys: DataFrame, text_id: str, text: str) -> DataFrame:
+    """``text_id, key``: keys of at least ``GRAM`` characters that stand inside a text.
+
+    Both sides meet on a key's rarest n-gram, so that neither is gathered anywhere
+    and keys with a beginning in common do not meet every text that has it; the
+    pair is then checked.
+    """
+    distinct = keys.select("key").where(F.length("key") >= GRAM).distinct()
+    g = distinct.select("key", F.explode(_grams(F.col("key"))).alias("gram"))
+    df = g.groupBy("gram").agg(F.count("*").alias("df"))
+    anchor = g.join(df, "gram").groupBy("key").agg(F.min(F.struct("df", "gram")).alias("a")).select("key", F.col("a.gram").alias("gram"))
+    t = texts.where(F.col(text).isNotNull()).select(text_id, F.col(text).alias("_t"), F.explode(_grams(F.col(text))).alias("gram"))
+    return t.join(anchor, "gram").where(F.contains("_t", "key")).select(text_id, "key").distinct()
+
+
 def mentions(questions: DataFrame, keys: DataFrame, text: str = "question", question_id: str = "question_id") -> DataFrame:
-    """``question_id, key``: keys a question contains, without those inside a longer key found there.
+    """``question_id, key``: keys a question contains, without those inside a longer key found there."""
+    q = questions.select(question_id, expression_key(F.col(text)).alias("q"))
+    all_keys = contained(q, keys, question_id, "q").groupBy(question_id).agg(F.collect_set("key").alias("ks"))  # the names in one question
+    return all_keys.select(question_id, F.explode(without_subsumed(F.col("ks"))).alias("key"))
+
+
+def without_subsumed(keys: Column) -> Column:
+    """Keys without those that stand inside another of them."""
+    return F.filter(keys, lambda k: ~F.exists(keys, lambda o: (o != k) & F.contains(o, k)))
+
+
+#: What the names of organisations end in, and what may stand behind a name in a question.
+ORGANISATION_ENDS = "공사|공단|재단|진흥원|연구원|의료원|교육청|교육지원청|시청|군청|구청|도청|테크노파크|대학교|산학협력단|박물관|도서관|센터|본부|연합회"
+
+
+def unknown_organisations(questions: DataFrame, names: DataFrame, text: str = "question", question_id: str = "question_id") -> DataFrame:
+    """``question_id, word``: words of a question that end like an organisation's name and stand in no known name (``name``), nor hold one."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"([가-힣A-Za-z0-9]{{2,}}(?:{ORGANISATION_ENDS}))"), F.lit(1)))).alias("word")
+    w = questions.select(question_id, word).withColumn("key", expression_key(F.col("word")))
+    known = names.select(expression_key(F.col("name")).alias("name")).where("length(name) >= 4").distinct()
+    inside = contained(known, w.select("key"), "name", "name").select("key").distinct()
+    holding = contained(w.select("key", F.col("key").alias("t")).distinct().withColumnRenamed("key", "word_key"), known.select(F.col("name").alias("key")), "word_key", "t").select(F.col("word_key").alias("key")).distinct()
+    return w.where(F.length("key") >= GRAM).join(inside.unionByName(holding).distinct(), "key", "left_anti").select(question_id, "word")
+
+
+def titles_in_order(questions: DataFrame, identity_records: DataFrame, text: str = "question", question_id: str = "question_id") -> DataFrame:
+    """``question_id, document_id``: documents all words of whose project name (two at least) stand in a question in their order.
 
-    Matched by automata over groups of at most about ``GROUP`` distinct keys, one
-    pass over the questions for each, so that keys may be many.
+    A title meets the questions in which a word begins with its rarest word.
     """
-    distinct = keys.select("key").distinct()
-    groups = max(1, -(-distinct.count() // GROUP))
-    q = questions.select(question_id, expression_key(F.col(text)).alias("q")).where("q is not null")
-    out = None
-    for g in range(groups):
-        part = distinct if groups == 1 else distinct.where(F.pmod(F.xxhash64("key"), F.lit(groups)) == g)
-        shared = questions.sparkSession.sparkContext.broadcast([r.key for r in part.collect()])
-
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            a = ahocorasick.Automaton()
-            for k in shared.value:
-                a.add_word(k, k)
-            if not len(a):
-                return
-            a.make_automaton()
-            for b in batches:
-                rows = [(i, k) for i, t in zip(b[question_id], b["q"], strict=True) for k in {k for _, k in a.iter(t)}]
-                yield pd.DataFrame(rows, columns=[question_id, "key"])
-
-        found = q.mapInPandas(find, f"{question_id} long, key string")
-        out = found if out is None else out.unionByName(found)
-    # drop what a longer key of the same question holds
-    all_keys = out.groupBy(question_id).agg(F.collect_set("key").alias("ks"))
-    longest = F.filter("ks", lambda k: ~F.exists("ks", lambda o: (o != k) & F.contains(o, k)))
-    return all_keys.select(question_id, F.explode(longest).alias("key"))
+    words = F.filter(F.split(F.regexp_replace(F.col("project_name"), r"[^0-9A-Za-z가-힣]+", " "), " "), lambda w: F.length(w) >= 2)
+    titles = identity_records.where("document_id is not null and project_name is not null").select("document_id", words.alias("ws")).distinct().where("size(ws) >= 2")
+    each = titles.select("ws").distinct().select("ws", F.explode(F.array_distinct("ws")).alias("w"))
+    df = each.groupBy("w").agg(F.count("*").alias("df"))
+    anchor = each.join(df, "w").groupBy("ws").agg(F.min(F.struct("df", "w")).alias("a")).select("ws", F.col("a.w").alias("begin"))
+    q = questions.where(F.col(text).isNotNull()).select(question_id, F.col(text).alias("_q"))
+    begins = F.explode(F.array_distinct(F.flatten(F.transform(F.filter(F.split(F.regexp_replace("_q", r"[^0-9A-Za-z가-힣]+", " "), " "), lambda w: F.length(w) >= 2), lambda w: F.transform(F.sequence(F.lit(2), F.length(w)), lambda n: F.substr(w, F.lit(1), n)))))).alias("begin")
+    pattern = F.concat(F.lit("(?s)"), F.array_join(F.transform("ws", lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), ".*"))
+    found = q.select(question_id, "_q", begins).join(anchor, "begin").where(F.regexp_like(F.col("_q"), pattern)).select(question_id, "ws").distinct()
+    return found.join(titles, "ws").select(question_id, "document_id").distinct()
+
+
+def sweep(identity_records: DataFrame) -> DataFrame:
+    """``phrasing, outcome, right, n``: every document asked for in several true phrasings of its names and two made-up ones, and what the resolver makes of them."""
+    names = identity_records.where("document_id is not null and buyer_org is not null and project_name is not null").groupBy("document_id").agg(F.min(F.struct("record_id", "buyer_org", "project_name")).alias("n")).select("document_id", "n.buyer_org", "n.project_name")
+    o, p = F.col("buyer_org"), F.col("project_name")
+    forms = {
+        "both": F.concat(o, F.lit(" "), p, F.lit("의 예산은?")), "project": F.concat(p, F.lit(" 예산 알려줘")), "organisation": F.concat(o, F.lit(" 사업의 마감일은?")), "turned": F.concat(p, F.lit(", "), o, F.lit(" 건")), "unspaced": F.concat(F.regexp_replace(o, " ", ""), F.regexp_replace(p, " ", ""), F.lit(" 예산")),
+        "made_up_project": F.concat(F.reverse(p), F.lit(" 예산은?")), "made_up_both": F.concat(F.reverse(o), F.lit(" "), F.reverse(p)),
+    }
+    q = names.select("document_id", F.explode(F.array(*(F.struct(F.lit(k).alias("phrasing"), v.alias("question")) for k, v in forms.items()))).alias("f")).select(F.col("document_id").alias("asked"), "f.phrasing", "f.question").withColumn("question_id", F.xxhash64("asked", "phrasing"))
+    r = resolve(q, name_keys(identity_records)).join(q.select("question_id", "asked", "phrasing"), "question_id")
+    return r.groupBy("phrasing", "outcome", F.coalesce(F.col("document_id") == F.col("asked"), F.lit(False)).alias("right")).agg(F.count("*").alias("n"))
 
 
 def resolve(questions: DataFrame, keys: DataFrame, text: str = "question", question_id: str = "question_id") -> DataFrame:
