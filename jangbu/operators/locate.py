@@ -26,3 +26,9 @@ def in_section(gold: DataFrame, candidates: DataFrame) -> DataFrame:
     on = (F.col("g.document_id") == F.col("c.document_id")) & (F.col("g.section") == F.col("c.section"))
     hit = F.when(F.col("g.line").isNotNull() & F.col("c.line").isNotNull(), F.col("g.line").between(F.col("c.line"), F.coalesce("c.line_end", "c.line"))).otherwise(F.col("g.ref_no") == F.col("c.ref_no"))
     return g.join(c, on).where(hit).select("g.gold_id", "c.candidate_id")
+
+
+def lookup(chunks: DataFrame) -> DataFrame:
+    """``document_id, location_label, chunk_key, n, n_of_document``: the first chunk under each label of a document, how many stand there, and how many the document has."""
+    at = chunks.where("document_id is not null").groupBy("document_id", "location_label").agg(F.min("chunk_key").alias("chunk_key"), F.count("*").alias("n"))
+    return at.join(at.groupBy("document_id").agg(F.sum("n").alias("n_of_document")), "document_id")

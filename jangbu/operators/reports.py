@@ -214,3 +214,20 @@ def experiment_diff(old: DataFrame, new: DataFrame, key: str, measures: list[str
     both = F.col("_o").isNotNull() & F.col("_n").isNotNull()
     fell = [F.round(100 * (1 - F.sum(F.when(both, F.col(f"n_{m}"))) / F.nullif(F.sum(F.when(both, F.col(f"o_{m}"))), F.lit(0.0))), 4).alias(f"{m}_reduction") for m in measures]
     return j.agg(F.count_if(both).alias("n_both"), F.count_if(both & ~F.col("os").eqNullSafe(F.col("ns"))).alias("n_differing"), F.count_if(F.col("_n").isNull()).alias("n_dropped"), F.count_if(F.col("_o").isNull()).alias("n_added"), F.round(F.avg(F.when(both, F.col("ns") - F.col("os"))), 6).alias("mean_change"), *fell)
+
+
+def listing(items: DataFrame, verdicts: list[str]) -> DataFrame:
+    """Items of the given verdicts, with the number of their verdict and of all items; the totals are of the whole, not of what is listed."""
+    n = items.groupBy("verdict").agg(F.count("*").alias("n_of_verdict"))
+    total = n.agg(F.sum("n_of_verdict").alias("n_all"))
+    return items.where(F.col("verdict").isin(*verdicts)).join(F.broadcast(n), "verdict").join(F.broadcast(total), F.lit(True)).select("item_key", "id", "verdict", "n_of_verdict", "n_all")
+
+
+def retried(attempts: DataFrame, key: str, order: list[str], ok: str, most: int = 2) -> DataFrame:
+    """Per ``key``: attempts made, at most ``most``, none behind one that succeeded, and whether one did."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(key).orderBy(*order)
+    a = attempts.withColumns({"attempt": F.row_number().over(w), "done": F.coalesce(F.max(F.col(ok).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    made = a.where((F.col("attempt") <= most) & (F.col("done") == 0))
+    return made.groupBy(key).agg(F.max("attempt").cast("long").alias("attempts"), F.coalesce(F.bool_or(ok), F.lit(False)).alias("succeeded"))

@@ -120,3 +120,33 @@ def grid(rows: DataFrame, documents: DataFrame, fields: list[str]) -> DataFrame:
     cells = current_cells(rows.where(F.col("field_name").isin(*fields)).join(documents, "document_id", "left_semi"))
     want = documents.select("document_id", F.explode(F.array(*map(F.lit, fields))).alias("field_name"))
     return want.join(cells, ["document_id", "field_name"], "left").select("document_id", "field_name", F.coalesce("status", F.lit("missing")).alias("status"), F.coalesce("answer_normalized", "answer_raw").alias("value"))
+
+
+def scope_split(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the registry in scope (retrievable and not withdrawn), and all others with the reason: no_id, withdrawn, duplicate or not_eligible."""
+    ok = F.col("document_id").isNotNull() & F.coalesce(F.col("retrieval_eligible"), F.lit(False)) & F.col("deleted_at").isNull()
+    why = F.when(F.col("document_id").isNull(), "no_id").when(F.col("deleted_at").isNotNull(), "withdrawn").when(F.col("duplicate_of_document_id").isNotNull(), "duplicate").otherwise("not_eligible")
+    return registry.where(ok), registry.where(~ok).withColumn("reason", why)
+
+
+def id_lists(registry: DataFrame) -> DataFrame:
+    """``document_id, list``: ``included`` where any row of the document is in scope, else ``excluded``; one row per id."""
+    inside, _ = scope_split(registry)
+    return registry.where("document_id is not null").select("document_id").distinct().join(inside.select("document_id").distinct().withColumn("_in", F.lit(True)), "document_id", "left").select("document_id", F.when(F.col("_in"), "included").otherwise("excluded").alias("list"))
+
+
+def selection_inputs(registry: DataFrame, identity_records: DataFrame, rows: DataFrame) -> DataFrame:
+    """``document_id, in_registry, in_identity, in_table, usable`` of every document any of the three names; usable are those all three hold, in scope."""
+    ids = lambda df, name: df.where("document_id is not null").select("document_id").distinct().withColumn(name, F.lit(True))
+    j = ids(registry, "r").join(ids(identity_records, "i"), "document_id", "full_outer").join(ids(rows, "t"), "document_id", "full_outer").join(scope(registry).withColumn("s", F.lit(True)), "document_id", "left")
+    held = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return j.select("document_id", held("r").alias("in_registry"), held("i").alias("in_identity"), held("t").alias("in_table"), (held("s") & held("i") & held("t")).alias("usable"))
+
+
+def manifest(batches: DataFrame, records: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per batch from three sources: what the batch states, what was delivered in it, and how many of its documents an extraction run covers."""
+    r = records.groupBy("batch_no").agg(F.count("*").alias("n_records"), F.countDistinct("document_id").alias("n_documents"), F.count_if(F.lower(F.trim("metadata_found")).isin("true", "1", "yes")).alias("n_with_metadata"))
+    covered = records.where("document_id is not null").select("batch_no", "document_id").distinct().join(files.select("document_id").where("document_id is not null").distinct(), "document_id").groupBy("batch_no").agg(F.count("*").alias("n_covered"))
+    j = batches.join(r, "batch_no", "left").join(covered, "batch_no", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return j.select("batch_no", "doc_count", F.size(F.coalesce("duplicate_doc_ids", F.array().cast("array<string>"))).alias("n_duplicates"), zero("n_records"), zero("n_documents"), zero("n_with_metadata"), zero("n_covered"))

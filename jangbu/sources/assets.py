@@ -7,6 +7,9 @@ from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 
 def latest(folder: str | Path, pattern: str) -> Path:
     """The last of the matching sub-folders in order of name; none fails."""
@@ -45,3 +48,28 @@ def one_truth(candidates: list[str | Path]) -> Path:
     if len({digest(p) for p in there}) > 1:
         raise ValueError(f"the same version differs: {', '.join(map(str, there))}")
     return there[0]
+
+
+def latest_folder(spark: SparkSession, folder: str, pattern: str) -> str:
+    """``latest`` on any file system Spark reads: the last matching sub-folder by name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    names = sorted(s.getPath().getName() for s in found or [] if s.isDirectory())
+    if not names:
+        raise FileNotFoundError(f"no {pattern} in {folder}")
+    return names[-1]
+
+
+def flattened(settings: Mapping[str, Any], above: str = "") -> list[tuple[str, str]]:
+    """Settings as dotted keys and texts, in order of the keys."""
+    out: list[tuple[str, str]] = []
+    for k in sorted(settings):
+        v = settings[k]
+        out += flattened(v, f"{above}{k}.") if isinstance(v, Mapping) else [(f"{above}{k}", str(v))]
+    return out
+
+
+def conflicting_versions(registered: DataFrame, keys: list[str], digest_column: str) -> DataFrame:
+    """Keys under which one version stands in several places with different content: ``n_places, n_contents``."""
+    g = registered.where(F.col(digest_column).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n_places"), F.countDistinct(digest_column).alias("n_contents"))
+    return g.where("n_contents > 1")

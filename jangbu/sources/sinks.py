@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jangbu.runtime import cut
+
 
 def _filesystem(df: DataFrame, path: str):
     jvm = df.sparkSession._jvm
@@ -36,10 +38,38 @@ def publish(df: DataFrame, path: str, violations: DataFrame | None = None) -> No
 
 
 def refresh_documents(df: DataFrame, path: str, key: str = "document_id") -> None:
-    """Replace only the partitions of the delivered keys."""
+    """Replace only the partitions of the delivered keys: one folder a key, for some hundreds of keys; ``refresh_buckets`` is for many."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def refresh_buckets(df: DataFrame, path: str, key: str = "document_id", newest: str | None = None, buckets: int = 64) -> None:
+    """Replace the delivered keys in a table of ``buckets`` hash buckets; only the buckets they fall into are rewritten.
+
+    With ``newest`` the rows of a key's greatest value stay, whichever side they
+    are on, so that a late batch does not replace a newer one and a repeated one
+    changes nothing.  Null keys are one key.  A reader sees a column ``bucket``.
+    """
+    spark = df.sparkSession
+    new = cut(df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    fs, target, _ = _filesystem(df, path)
+    if fs.exists(target):
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(*touched))
+        if newest is None:
+            new = cut(old.join(new.select(key).distinct().withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left_anti").unionByName(new))
+        else:
+            both = old.unionByName(new)
+            top = both.groupBy(key).agg(F.max(newest).alias("_top")).withColumnRenamed(key, "_k")
+            kept = both.join(top, F.col(key).eqNullSafe(F.col("_k"))).where(F.col(newest).eqNullSafe(F.col("_top"))).drop("_k", "_top")
+            new = cut(kept.dropDuplicates())
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def ordered_files(df: DataFrame, path: str, order: list[str], kind: str = "csv") -> None:
+    """A table as files whose names and rows follow ``order``: the same table gives the same files, of any size."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").format(kind).option("header", True).option("ignoreNullFields", False).save(path)
+
+
 def one_file(df: DataFrame, path: str, order: list[str], kind: str = "json") -> None:
     """A small result as one file in a fixed order."""
     df.coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").format(kind).save(path)
