@@ -123,3 +123,54 @@ def response_kind(text: Column) -> Column:
     return (
         F.when(text.rlike(r"어느|무엇을 말씀|구체적으로|확인 부탁"), "clarification").when(text.rlike(r"찾을 수 없|확인이 필요|확인되지|알 수 없"), "abstention").when(text.rlike(r"답변드릴 수 없|할 수 없습니다|불가합니다"), "refusal").otherwise("answer")
     )
+
+
+def masked_secrets(c: Column) -> Column:
+    """An error text without keys, mail addresses and telephone numbers."""
+    c = F.regexp_replace(c, r"(?:sk|pk|key|token)[-_][A-Za-z0-9]{8,}", "[secret]")
+    c = F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]")
+    return F.regexp_replace(c, r"0[0-9]{1,2}-?[0-9]{3,4}-?[0-9]{4}", "[phone]")
+
+
+def bounded(text: Column, item: Column) -> Column:
+    """Whether an item stands in a text between a blank or the beginning and a blank, a particle or the end; blank items stand nowhere."""
+    ending = r"(?:은|는|이|가|을|를|의|에|로|으로|와|과|도|만|입니다|이다)?(?:\s|[,.]|$)"
+    rx = F.concat(F.lit(r"(?:^|\s)\Q"), F.trim(item), F.lit(rf"\E{ending}"))
+    return (F.trim(item) != "") & F.regexp_like(text, rx)
+
+
+def without_part(c: Column) -> Column:
+    """A location label without the part it ends in, ``(2/3)``."""
+    return F.trim(F.regexp_replace(c, r"\s*\(\d+/\d+\)\s*$", ""))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """The elements two paths begin with in common; null where either is null."""
+    n = F.least(F.size(a), F.size(b))
+    same = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.try_element_at(a, i).eqNullSafe(F.try_element_at(b, i)))
+    upto = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda acc, x: F.struct(F.when(acc["on"] & x, acc["n"] + 1).otherwise(acc["n"]).alias("n"), (acc["on"] & x).alias("on")))["n"]
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(n <= 0, F.slice(a, 1, 0)).otherwise(F.slice(a, 1, upto))
+
+
+def location_of(path: Column, label: Column) -> Column:
+    """Section, reference and paragraph of a chunk: the leaf of its path, else what its label begins with; the label without its part; the first paragraph number in it."""
+    leaf = F.try_element_at(F.filter(path, lambda x: x.isNotNull() & (x != "")), F.lit(-1))
+    plain = without_part(label)
+    return F.struct(F.coalesce(leaf, F.nullif(F.trim(F.regexp_extract(label, r"^([^·\d]+)", 1)), F.lit(""))).alias("section"), plain.alias("ref_no"), F.regexp_extract(label, r"(\d+)", 1).try_cast("int").alias("number"))
+
+
+def canonical_json(value: Column) -> Column:
+    """JSON text with its members in order of name and without blanks: equal content, equal text; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(value))
+
+
+def points_per_item(n: Column) -> Column:
+    """Points of a hundred that one of ``n`` items is worth, null for none."""
+    return F.round(F.lit(100.0) / F.nullif(n, F.lit(0)), 4)
+
+
+def as_array(c: Column) -> Column:
+    """A list of ids from a JSON array, a single id, or nothing; blank ids are none."""
+    listed = F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>"))
+    one = F.when(~F.trim(c).startswith("[") & (F.trim(c) != ""), F.array(F.trim(c)))
+    return F.filter(F.coalesce(listed, one, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
