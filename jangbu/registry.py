@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("jangbu.tender", "jangbu.wording", "jangbu.contracts", "jangbu.evaluation", "jangbu.phrases", "jangbu.asking", "jangbu.grading", "jangbu.assets", "jangbu.checks")
+MODULES = ("jangbu.tender", "jangbu.wording", "jangbu.contracts", "jangbu.evaluation", "jangbu.phrases", "jangbu.asking", "jangbu.grading", "jangbu.assets", "jangbu.checks", "jangbu.reading")
 
 
 def registered(sql: str | None = None) -> Callable[[Query], Query]:
