@@ -48,8 +48,12 @@ def p7_table(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.table(table(spark, d, "metadata_files"))
 
 
+def p7_unknown(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.unknown_fields(table(spark, d, "metadata_files"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_quantities, p3_found, p3_by_month, p4_found, p4_instants, p7_found, p7_table)}
+    return {f.__name__: f for f in (p1_found, p1_quantities, p3_found, p3_by_month, p4_found, p4_instants, p7_found, p7_table, p7_unknown)}
 
 
 _REFS = r"""

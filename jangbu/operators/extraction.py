@@ -226,7 +226,7 @@ def decide(name: str, hits: list[Hit]) -> tuple[str, Hit | None, list[Hit]]:
 
 def external_target(text: str | None) -> str:
     """What a value refers to elsewhere (a notice, an attachment), empty where it refers to nothing."""
-    m = re.search(r"((?:입찰\s*)?공고(?:문|서)?|제안요청서|과업\s*(?:지시서|내용서)|(?:붙임|첨부|별첨|별지)\s*(?:자료|서류|서식|제?\s*\d+\s*호?)?|별도\s*(?:공고|문서|통지|안내))[^.\n]{0,20}?(?:참조|참고|따른다|따름|따르며|의함|확인|안내)", text or "")
+    m = re.search(r"((?:입찰\s*)?공고(?:문|서)?|제안요청서|과업\s*(?:지시서|내용서)|(?:붙임|첨부|별첨|별지)\s*(?:자료|서류|서식|제?\s*\d+\s*호?)?|별도\s*(?:공고(?:문|서)?|문서|통지|안내))[^.\n]{0,20}?(?:참조|참고|따른다|따름|따르며|의함|확인|안내)", text or "")
     return re.sub(r"\s+", " ", m[1]).strip() if m else ""
 
 

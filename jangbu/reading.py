@@ -30,7 +30,7 @@ def c02_blocks(spark, d):
 
 
 @registered(r"""with t as (select chunk_key, text, (length(text) - length(replace(lower(text), '<table', '')))  as x from chunks where text is not null and len(regexp_extract_all(lower(text), '<table\b')) = 1 and len(regexp_extract_all(lower(text), '</table\s*>')) = 1 and ends_with(trim(lower(text)), '</table>') and starts_with(trim(lower(text)), '<table'))
-  select chunk_key, len(regexp_extract_all(lower(text), '</tr\s*>'))::int as rows, len(regexp_extract_all(lower(text), '</t[dh]\s*>'))::int as cells from t""")
+  select chunk_key, len(regexp_extract_all(lower(text), '<tr\b'))::int as rows, len(regexp_extract_all(lower(text), '<t[dh]\b'))::int as cells from t""")
 def c03_outer_cells(spark, d):
     """Rows and cells of chunks that are one HTML table; nested tables are tested apart."""
     c = table(spark, d, "chunks").where(r"text is not null and size(regexp_extract_all(lower(text), '(<table\\b)', 1)) = 1 and size(regexp_extract_all(lower(text), '(</table\\s*>)', 1)) = 1 and endswith(trim(lower(text)), '</table>') and startswith(trim(lower(text)), '<table')")

@@ -50,3 +50,27 @@ def test_fields_at_any_depth(spark):
     got = {tuple(r) for r in schema_drift.changes(f).select("run_no", "field_name", "change").collect()}
     assert got == {(2, "row_count", "renamed"), (2, "generated_at", "retyped"), (2, "corpus_dir", "retyped"), (3, "row_count", "renamed"), (3, "generated_at", "removed"), (3, "corpus_dir", "removed")}
     assert [r.row_count for r in schema_drift.table(f).orderBy("run_no").collect()] == [5, 5, 5]
+
+
+def test_stretches_change_nothing(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    texts = []
+    for p in "pq":
+        for run in sorted(r.sample(range(1, 90), 40)):
+            doc = {}
+            for name in ("note", "row_count", "generator"):
+                if r.random() < 0.8:
+                    doc[name if r.random() < 0.9 else name.upper() + "_"] = r.choice([None, "x", 5, ["a"]])
+            texts.append((p, run, json.dumps(doc)))
+    f = files(spark, texts)
+    whole = {tuple(x) for x in schema_drift.changes(f).collect()}
+    monkeypatch.setattr(schema_drift, "SEGMENT", 3)
+    assert {tuple(x) for x in schema_drift.changes(f).collect()} == whole and len(whole) > 50
+
+
+def test_unknown_fields(spark):
+    f = files(spark, [("p", 1, '{"note": "x", "colour": "red", "deep": {"er": {"size": 3}}}'), ("p", 4, '{"colour": null}'), ("q", 1, '{"note": "x"}')])
+    got = {tuple(r) for r in schema_drift.unknown_fields(f).collect()}
+    assert got == {("p", "colour", 2, 1, 4, "string"), ("p", "deep/er/size", 1, 1, 1, "number")}
