@@ -17,9 +17,9 @@ from pyspark.sql.window import Window
 
 from jangbu.runtime import cut
 
-#: Bits of one bitmap (Spark's bitmap functions are fixed to 4 kB) and hash ranges the dictionary is numbered in.
+#: Bits of one bitmap (Spark's bitmap functions are fixed to 4 kB); least number of hash ranges the dictionary is numbered in, and keys a range is meant to hold.
 BITS = 32_768
-RANGES = 64
+RANGES, KEYS = 64, 1_000_000
 
 
 def normal_id(c: Column) -> Column:
@@ -62,12 +62,14 @@ def holdings(registry: DataFrame) -> DataFrame:
 def dictionary(ids: DataFrame) -> DataFrame:
     """``document_id, key_range, bit``: a dense number for every distinct id.
 
-    Numbered within hash ranges, so no step sorts all keys at once, and
-    by id order, so a lost executor's part is numbered the same again.
+    Numbered within hash ranges of about ``KEYS`` ids, so no step sorts all keys at
+    once, and by id order, so a lost executor's part is numbered the same again.
     """
-    d = ids.select("document_id").distinct().withColumn("h", F.pmod(F.xxhash64("document_id"), F.lit(RANGES)))
+    d = ids.select("document_id").distinct()
+    ranges = max(RANGES, d.count() // KEYS)
+    d = d.withColumn("h", F.pmod(F.xxhash64("document_id"), F.lit(ranges)))
     n = F.row_number().over(Window.partitionBy("h").orderBy("document_id")) - 1
-    return d.withColumn("n", n).select("document_id", (F.col("h") + RANGES * F.floor(F.col("n") / BITS)).alias("key_range"), (F.col("n") % BITS).cast("long").alias("bit"))
+    return d.withColumn("n", n).select("document_id", (F.col("h") + ranges * F.floor(F.col("n") / BITS)).alias("key_range"), (F.col("n") % BITS).cast("long").alias("bit"))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
