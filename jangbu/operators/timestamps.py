@@ -61,12 +61,15 @@ def zones(spark: SparkSession) -> DataFrame:
 
 
 def _parts(body: Column) -> Column:
-    """``order|a|b|c|ap|h|mi|s|frac|mi2|s2|ap2`` of the first pattern that matches, else null."""
-    out = None
+    """``order|a|b|c|ap|h|mi|s|frac|mi2|s2|ap2`` of the first pattern that matches, else null.
+
+    Each pattern is tried once: what one has rewritten begins with a character no
+    text has and no later pattern allows, so the rest fail on it at once.
+    """
+    out = body
     for order, rx in CASCADE:
-        hit = F.regexp_replace(body, rx, order + "".join(f"|${i}" for i in range(1, 12)))
-        out = F.when(body.rlike(rx), hit) if out is None else out.when(body.rlike(rx), hit)
-    return out
+        out = F.regexp_replace(out, rx, "\x01" + order + "".join(f"|${i}" for i in range(1, 12)))
+    return F.nullif(F.regexp_extract(out, "^\x01(.*)$", 1), F.lit(""))
 
 
 def instants(records: DataFrame, text: str, systems: DataFrame, policy: str = "standard", system: str = "collection_system") -> DataFrame:
@@ -121,9 +124,11 @@ def instants(records: DataFrame, text: str, systems: DataFrame, policy: str = "s
     made = F.expr("try_make_timestamp_ntz(_y, _m, _d, if(_h = 24 and _mi = 0 and _s = 0, 0, _h), _mi, _s)")
     df = df.withColumn("_local", F.when(F.col("_h").between(0, 24) & (F.col("_s") < 60) & ((F.col("_h") < 24) | midnight), made + F.when(midnight, F.expr("interval 1 day")).otherwise(F.expr("interval 0 day"))))
     df = df.withColumn("_u", F.expr("convert_timezone(_zone, 'UTC', _local)"))
-    df = df.withColumn("time_issue", F.expr("case when convert_timezone('UTC', _zone, _u) <> _local then 'nonexistent' when convert_timezone('UTC', _zone, _u + interval 1 hour) = _local then 'ambiguous' end"))
+    # how far the zone's clock goes back within a day around: an hour nearly everywhere, but not everywhere
+    df = df.withColumn("_back_by", F.expr("convert_timezone('UTC', _zone, _u - interval 1 day) - convert_timezone('UTC', _zone, _u + interval 1 day) + interval 2 days"))
+    df = df.withColumn("time_issue", F.expr("case when convert_timezone('UTC', _zone, _u) <> _local then 'nonexistent' when _back_by > interval 0 seconds and convert_timezone('UTC', _zone, _u + _back_by) = _local then 'ambiguous' end"))
     if policy == "later":
-        df = df.withColumn("_u", F.expr("if(time_issue = 'ambiguous', _u + interval 1 hour, _u)"))
+        df = df.withColumn("_u", F.expr("if(time_issue = 'ambiguous', _u + _back_by, _u)"))
     elif policy == "null":
         df = df.withColumn("_u", F.expr("if(time_issue is null, _u, null)"))
     epoch = F.when(F.col("_t").rlike(r"^\d{10}$"), F.col("_t").cast("long") * 1_000_000).when(F.col("_t").rlike(r"^\d{13}$"), F.col("_t").cast("long") * 1000)

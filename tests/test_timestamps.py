@@ -43,3 +43,14 @@ def test_pairs(spark):
     df = spark.createDataFrame(data, schema)
     assert sorted(map(tuple, timestamps.same_instant_pairs(df, systems).collect())) == [("bid_deadline_raw", 1, 2), ("bid_deadline_raw", 2, 3)]
     assert timestamps.same_instant_pairs(df.limit(0), systems).count() == 0
+
+
+def test_gaps_that_are_no_hour(spark):
+    """A zone whose clock goes back by half an hour."""
+    data = [(1, "2023-04-02 01:45 Australia/Lord_Howe", "x"), (2, "2023-04-02 02:15 Australia/Lord_Howe", "x"), (3, "2023-10-01 02:15 Australia/Lord_Howe", "x"), (4, "2023-04-02 01:20 Australia/Lord_Howe", "x")]
+    systems = spark.createDataFrame([("x", "UTC", "ymd")], "collection_system string, home_zone string, date_order string")
+    df = spark.createDataFrame(data, "i long, t string, collection_system string")
+    issue = {r.i: r.time_issue for r in timestamps.instants(df, "t", systems).collect()}
+    assert issue == {1: "ambiguous", 2: None, 3: "nonexistent", 4: None}
+    first, later = ({r.i: r.instant for r in timestamps.instants(df, "t", systems, p).collect()} for p in ("standard", "later"))
+    assert (later[1] - first[1]).total_seconds() == 1800 and later[2] == first[2]
