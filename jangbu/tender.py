@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from jangbu.functions import columns as C
 from jangbu.operators import diffs, locate, reports, retrieval, selection
 from jangbu.operators.selection import Condition
-from jangbu.registry import registered
+from jangbu.registry import oracle_sql, queries, registered  # noqa: F401
 from jangbu.runtime import table
 
 _CELLS = """

@@ -47,4 +47,8 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     df = QUERIES[name](spark, str(DATA))
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() >= (name not in MAY_BE_EMPTY)
+
+
+#: Queries that may find nothing on the smallest tables.
+MAY_BE_EMPTY = {"d04_unknown_organisations", "e09_new_labels", "p4_found", "p1_found", "v06_incompatible_values", "p7_unknown", "pred16_context_rows"}
