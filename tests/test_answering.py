@@ -127,8 +127,8 @@ def test_contracts(spark):
     report = contracts.contract_report({"x": base, "y": base.limit(0), "r": base, "gone": None}, review=("r",))
     assert {r.name: r.state for r in report.collect()} == {"x": "FAIL", "y": "PASS", "r": "REVIEW", "gone": "SKIP"}
     assert {r.name: r.state for r in contracts.contract_report({"x": base, "gone": None}, final=True).collect()}["gone"] == "FAIL"
-    items = spark.createDataFrame([(1, "한글로 쓴 아주 긴 질문 하나", None), (2, "짧다", "또 하나의 충분히 긴 정답이다")], "item_key long, question string, answer_raw string")
-    docs = spark.createDataFrame([(7, "앞 한글로  쓴 아주 긴 질문 하나! 뒤"), (8, None), (9, "짧다")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "한글로 쓴 아주 긴 질문 하나 더", None), (2, "짧다", "또 하나의 충분히 긴 정답이다")], "item_key long, question string, answer_raw string")
+    docs = spark.createDataFrame([(7, "앞 한글로  쓴 아주 긴 질문 하나, 더! 뒤"), (8, None), (9, "짧다")], "doc_id long, text string")
     assert rows(contracts.leaked(items, docs, "doc_id", "text")) == [(7, 1)]
     p = contracts.provenance_problems(spark.createDataFrame([("a", "v1"), ("a", "v1"), ("b", None), ("c", "unknown")], "k string, x string"), ["x"], ["k"])
     assert {r.k: (list(r.problems), r.reproducible) for r in p.collect()} == {"a": ([], True), "b": (["no_x"], False), "c": (["unknown_x"], False)}
