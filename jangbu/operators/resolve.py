@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jangbu.functions.columns import expression_key
 
-#: Most names of a fixed list that are matched by one automaton.
+#: Most names of a fixed list that are matched by one automaton, and most keys of any list that are.
 GROUP = 200_000
 #: Characters of the n-grams by which texts and keys meet; shorter keys are left out.
 GRAM = 4
@@ -31,16 +31,42 @@ def name_keys(identity_records: DataFrame) -> DataFrame:
 def contained(texts: DataFrame, keys: DataFrame, text_id: str, text: str) -> DataFrame:
     """``text_id, key``: keys of at least ``GRAM`` characters that stand inside a text.
 
-    Both sides meet on a key's rarest n-gram, so that neither is gathered anywhere
-    and keys with a beginning in common do not meet every text that has it; the
-    pair is then checked.
+    Up to ``GROUP`` keys travel to the texts as one automaton.  More are gathered
+    nowhere: both sides meet on a key's rarest n-gram, so that keys with a
+    beginning in common do not meet every text that has it, only the texts'
+    numbers and n-grams are shuffled, and the texts are fetched for what met.
     """
     distinct = keys.select("key").where(F.length("key") >= GRAM).distinct()
+    t = texts.where(F.col(text).isNotNull()).select(text_id, F.col(text).alias("_t"))
+    few = [r.key for r in distinct.limit(GROUP + 1).collect()]
+    if len(few) <= GROUP:
+        return _found(t, few, text_id)
     g = distinct.select("key", F.explode(_grams(F.col("key"))).alias("gram"))
     df = g.groupBy("gram").agg(F.count("*").alias("df"))
     anchor = g.join(df, "gram").groupBy("key").agg(F.min(F.struct("df", "gram")).alias("a")).select("key", F.col("a.gram").alias("gram"))
-    t = texts.where(F.col(text).isNotNull()).select(text_id, F.col(text).alias("_t"), F.explode(_grams(F.col(text))).alias("gram"))
-    return t.join(anchor, "gram").where(F.contains("_t", "key")).select(text_id, "key").distinct()
+    met = t.select(text_id, F.explode(_grams(F.col("_t"))).alias("gram")).join(anchor, "gram").select(text_id, "key").distinct()
+    return met.join(t, text_id).where(F.contains("_t", "key")).select(text_id, "key").distinct()
+
+
+def _found(texts: DataFrame, keys: list[str], text_id: str) -> DataFrame:
+    """``text_id, key`` of the keys in the texts (``_t``), by one automaton in every worker."""
+    shared = texts.sparkSession.sparkContext.broadcast(keys)
+    kind = texts.schema[text_id].dataType.simpleString()
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for k in shared.value:
+            a.add_word(k, k)
+        if not len(a):
+            return
+        a.make_automaton()
+        for b in batches:
+            rows = [(i, k) for i, t in zip(b[text_id], b["_t"], strict=True) for k in {k for _, k in a.iter(t)}]
+            yield pd.DataFrame(rows, columns=[text_id, "key"]).astype({text_id: b[text_id].dtype})
+
+    return texts.mapInPandas(find, f"{text_id} {kind}, key string").distinct()
 
 
 def mentions(questions: DataFrame, keys: DataFrame, text: str = "question", question_id: str = "question_id") -> DataFrame:

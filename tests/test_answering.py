@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -101,9 +102,12 @@ def test_batches_hold_everything_once(spark):
     assert sum(sizes) == 1000 and max(sizes) <= 30 and b.select("batch", "place").distinct().count() == 1000
 
 
-def test_names_met_on_rare_grams(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_names_met_on_rare_grams(spark, monkeypatch, most):
     import random
 
+    monkeypatch.setattr(resolve, "GROUP", most)
+
     r = random.Random(2)
     word = lambda n: "".join(r.choice("가나다라마") for _ in range(n))
     keys, texts = [word(r.randint(2, 7)) for _ in range(60)], [word(r.randint(0, 40)) for _ in range(80)] + [None]
