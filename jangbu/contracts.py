@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from jangbu.functions import columns as C
 from jangbu.operators import diffs, reports, scoring, selection
@@ -12,31 +11,6 @@ from jangbu.registry import registered
 from jangbu.tender import _CELLS
 
 
-@registered(f"""with {_CELLS}, g as (select distinct document_id from cur where field_name = '예산' and status = 'conflict'), x as (select distinct document_id from registry where not retrieval_eligible) select document_id from g intersect select document_id from x""")
-def j16_gold_in_excluded(spark, d):
-    g = selection.current_cells(table(spark, d, "extraction_rows")).where((F.col("field_name") == "예산") & C.status_is("conflict")).select("document_id").distinct()
-    x = table(spark, d, "registry").where("not retrieval_eligible").select("document_id")
-    return g.join(x, "document_id", "left_semi")
-
-
-@registered("""select item_key, coalesce(m.action, 'none') as action, m.action is not null as replaced from evaluation_items i left join (select question_id, min(approved_plan.action) as action from approved_memory group by 1) m on i.id = m.question_id""")
-def j20_merged_by_id(spark, d):
-    m = table(spark, d, "approved_memory").groupBy(F.col("question_id").alias("id")).agg(F.min("approved_plan.action").alias("a"))
-    return table(spark, d, "evaluation_items").select("item_key", "id").join(m, "id", "left").select("item_key", F.coalesce("a", F.lit("none")).alias("action"), F.col("a").isNotNull().alias("replaced"))
-
-
-@registered("""with w as (select * from (values (0, 7), (1, 3), (2, 5)) v(pos, s_suppkey)) select w.pos, s.s_suppkey, s.s_name from w join supplier s using (s_suppkey)""")
-def j21_subset_in_order(spark, d):
-    w = spark.createDataFrame([([7, 3, 5],)], "ids array<long>").select(F.posexplode("ids").alias("pos", "s_suppkey"))
-    return table(spark, d, "supplier").join(F.broadcast(w), "s_suppkey").select("pos", "s_suppkey", "s_name")
-
-
-@registered("""select o.o_orderkey, coalesce(l.best, -1) as chosen, l.best is null as fell_back from orders o left join (select l_orderkey, min(l_linenumber) as best from lineitem where l_returnflag = 'R' group by 1) l on o.o_orderkey = l.l_orderkey""")
-def j22_chosen_or_fallback(spark, d):
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linenumber").alias("best"))
-    return table(spark, d, "orders").join(li, "o_orderkey", "left").select("o_orderkey", F.coalesce("best", F.lit(-1)).alias("chosen"), F.col("best").isNull().alias("fell_back"))
-
-
 @registered("""with q as (select vec_id as query_id, embedding::double[] as e from embeddings where vec_id % 50 = 0), s as (select q.query_id, v.vec_id, round(list_cosine_similarity(q.e, v.embedding::double[]), 6) as similarity from q join embeddings v on q.query_id <> v.vec_id),
   r as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from s) select query_id, count(*) filter (where similarity >= 0.3) as n_recalled, max(similarity) as best from r where rank <= 3 group by 1""")
 def j26_recalled_memory(spark, d):
@@ -76,12 +50,6 @@ def a25_version_invariants(spark, d):
     return j.groupBy("chunking_version", F.col("corpus_version").alias("tag_corpus")).agg(F.count("chunk_key").alias("n_chunks"), F.countDistinct("cv").alias("n_corpus_versions"), F.count_if(F.col("pv") != F.col("preprocess_version")).alias("n_mismatched"))
 
 
-@registered("""select s_nationkey, s_suppkey, row_number() over (partition by s_nationkey order by case when s_acctbal < 0 then 2 when s_acctbal > 5000 then 0 else 1 end, s_acctbal desc, s_suppkey) as place from supplier""")
-def o02_composite_order(spark, d):
-    w = Window.partitionBy("s_nationkey").orderBy(F.when(F.col("s_acctbal") < 0, 2).when(F.col("s_acctbal") > 5000, 0).otherwise(1), F.desc("s_acctbal"), "s_suppkey")
-    return table(spark, d, "supplier").select("s_nationkey", "s_suppkey", F.row_number().over(w).cast("long").alias("place"))
-
-
 @registered("""select item_key, array_to_string(list_sort(list_transform(list_filter(coalesce(evidence, []), lambda e: e.value is not null), lambda e: lpad(cast(1000 - length(e.value) as varchar), 4, '0') || ':' || e.value)), '|') as by_length from evaluation_items""")
 def o07_longest_first(spark, d):
     v = F.filter(F.coalesce("evidence.value", F.array().cast("array<string>")), lambda x: x.isNotNull())
@@ -149,12 +117,6 @@ def v07_report_diff(spark, d):
     return diffs.full_diff(n(r.where(C.active())), n(r), ["field_name", "status"], ["n"])
 
 
-@registered("""select l_returnflag as stage, count(*) as n, round(avg(l_discount), 6) as recall, round(avg(l_tax), 6) as precision, round(count(*) filter (where l_discount >= 0.05) / count(*), 6) as recall_all_rate from lineitem group by 1""")
-def a09_stage_aggregate(spark, d):
-    r = F.count_if(F.col("l_discount") >= 0.05) / F.count("*")
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("recall"), F.round(F.avg("l_tax"), 6).alias("precision"), F.round(r, 6).alias("recall_all_rate"))
-
-
 @registered("""select field_name, count(distinct document_id) as n_documents, count(distinct extraction_version) as n_versions, count(distinct row_id) as n_rows from extraction_rows group by 1""")
 def a35_profile_counts(spark, d):
     return table(spark, d, "extraction_rows").groupBy("field_name").agg(F.countDistinct("document_id").alias("n_documents"), F.countDistinct("extraction_version").alias("n_versions"), F.countDistinct("row_id").alias("n_rows"))

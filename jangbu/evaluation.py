@@ -203,11 +203,6 @@ def e02_extracted_fields(spark, d):
     return extract.table(table(spark, d, "documents"))
 
 
-@registered("""select doc_id, line_no, line from (select doc_id, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) as line_no, unnest(string_split(replace(text, chr(13), ''), chr(10))) as line from documents where text is not null) where replace(line, ' ', '') <> ''""")
-def e01_lines(spark, d):
-    return extract.lines(table(spark, d, "documents"))
-
-
 @registered("""select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2""")
 def t02_stream_counts(spark, d):
     """The streaming twin run to its end over the events file."""

@@ -261,3 +261,46 @@ def a21_diagnosis_rules(spark, d):
     v = t.groupBy("answer_source").agg(of("selection").alias("selection_score"), F.avg("score").alias("task_score"), of("extraction").alias("extract_score"), F.avg(F.coalesce("abstained", F.lit(False)).cast("double")).alias("faithfulness"), F.avg(F.col("failure").isNull().cast("double")).alias("extraction_accuracy"))
     v = v.withColumns({"retrieval_recall": F.lit(None).cast("double"), "doc_selection_accuracy": F.lit(None).cast("double"), "score_dropped": F.col("task_score") < 0.6})
     return reports.diagnose(v).select("answer_source", F.array_join("findings", ",").alias("findings"))
+
+
+@registered("""with q as (select vec_id as query_id, label, embedding::double[] as e from embeddings where vec_id % 50 = 0), s as (select q.query_id, v.vec_id, round(list_cosine_similarity(q.e, v.embedding::double[]), 6) as similarity from q join embeddings v on q.query_id <> v.vec_id),
+  r as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as rank from s), ranked as (select * from r where rank <= 20), g as (select q.query_id, v.vec_id from q join embeddings v on q.label = v.label and q.query_id <> v.vec_id), st as (select * from (values ('retrieval', 5), ('retrieval', 10), ('retrieval', 20), ('context', 5)) t(stage, k)),
+  ng as (select query_id, count(*) as n_gold from g group by 1), h as (select st.stage, st.k, ranked.query_id, ranked.rank, g.vec_id is not null as hit from st join ranked on ranked.rank <= st.k left join g on g.query_id = ranked.query_id and g.vec_id = ranked.vec_id),
+  m as (select stage, k, ng.query_id, n_gold, count(*) filter (where hit) as f, count(*) as n, min(case when hit then rank end) as first from ng join h using (query_id) group by all), x as (select stage, k, round(f / n_gold, 6) as recall, round(f / greatest(n, 1), 6) as precision, round(coalesce(1.0 / first, 0), 6)::double as mrr, f = n_gold as found_all, case when f = n_gold then 'none' when n_gold > (select count(*) from g join ranked using (query_id, vec_id) where g.query_id = m.query_id) then 'recall_failure' else 'rank_failure' end as failure_kind from m)
+  select stage, k, count(*) as n, round(avg(recall), 4) as recall, round(avg(precision), 4) as precision, round(avg(mrr), 4) as mrr, round(avg(found_all::int), 4) as recall_all_rate, count(*) filter (where failure_kind = 'recall_failure') as n_recall_failure, count(*) filter (where failure_kind = 'rank_failure') as n_rank_failure from x group by 1, 2""")
+def a09_stages(spark, d):
+    """Searches graded at several cut-offs of the retrieval and at the context's, then put together per stage."""
+    from jangbu.operators import retrieval
+
+    v = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    ranked = retrieval.cosine_top_k(q.select("query_id", "embedding"), v.select("vec_id", "embedding"), 20)
+    gold = q.select("query_id", "label").join(v.select("vec_id", "label"), "label").where("query_id <> vec_id").select("query_id", "vec_id")
+    out = None
+    for stage, k in (("retrieval", 5), ("retrieval", 10), ("retrieval", 20), ("context", 5)):
+        m = retrieval.stage_metrics(ranked, gold, k).join(retrieval.failure_kinds(ranked, gold, 20, k), "query_id")
+        m = m.select(F.lit(stage).alias("stage"), F.lit(k).alias("k"), "recall", "precision", "mrr", (F.col("n_found") == F.col("n_gold")).alias("found_all"), F.col("failure").alias("failure_kind"))
+        out = m if out is None else out.unionByName(m)
+    return reports.stages(out)
+
+
+@registered(_SETS + """, n as (select item_key, case when len(gold) = 0 then score when len(list_intersect(gold, got)) = len(gold) and len(list_distinct(got)) = len(gold) then 1 else 0 end::double as score from t where failure is null)
+  select item_key, case when n.item_key is null then 'removed' else 'changed' end as change from t left join n using (item_key) where n.item_key is null or n.score is distinct from t.score""")
+def j19_scores_compared(spark, d):
+    """Partial scores against all-or-nothing ones, failed runs being left out of the second file."""
+    from jangbu.operators import diffs
+
+    t = _sets(spark, d).select("item_key", "score", "gold", "failure", F.transform("selected_document_ids", lambda x: F.upper(F.trim(x))).alias("got"))
+    exact = (F.size(F.array_intersect("gold", "got")) == F.size("gold")) & (F.size(F.array_distinct("got")) == F.size("gold"))
+    new = t.where("failure is null").withColumn("score", F.when(F.size("gold") == 0, F.col("score")).otherwise(exact.cast("double")))
+    return diffs.full_diff(t, new, ["item_key"], ["score"])
+
+
+@registered("""with n as (select document_id from chunks where chunking_version = 'c1' and document_id is not null) select chunk_key, document_id, 'kept' as edition from chunks where coalesce(document_id, '') not in (select document_id from n) union all select chunk_key, document_id, 'made again' from chunks where chunking_version = 'c1' and document_id is not null""")
+def u06_refreshed_chunks(spark, d):
+    """Chunks kept of other documents, and those of the first version made again."""
+    from jangbu.operators import diffs
+
+    c = table(spark, d, "chunks").select("chunk_key", "document_id", "chunking_version")
+    new = c.where("chunking_version = 'c1' and document_id is not null").select("chunk_key", "document_id", F.lit("made again").alias("edition"))
+    return diffs.refresh(c.select("chunk_key", "document_id", F.lit("kept").alias("edition")), new, "document_id")

@@ -309,3 +309,15 @@ def alias_pattern(name: str) -> str:
 
 def says_contents(line: Column) -> Column:
     return line.rlike(CONTENTS.pattern)
+
+
+@vectorised("array<struct<first:int,last:int,path:array<string>>>")
+def heading_stacks(text: str) -> list[dict]:
+    """Runs of lines under one path of headings, from the outermost to the nearest."""
+    out: list[dict] = []
+    for i, path in enumerate(sections(text.replace("\r", "").split("\n")), 1):
+        if out and out[-1]["path"] == list(path):
+            out[-1]["last"] = i
+        else:
+            out.append({"first": i, "last": i, "path": list(path)})
+    return out

@@ -118,3 +118,10 @@ def e11_document_rows(spark, d):
     """Twelve rows of every document."""
     e = extraction.extract(table(spark, d, "documents"))
     return e.select("doc_id", "field_name", "status", "answer_raw", "line", F.array_join("section", " > ").alias("section"), "source_type", "n_hits", "n_usable", F.size("others").alias("n_others"))
+
+
+@registered()
+def w07_heading_stacks(spark, d):
+    """The stack of headings above every line that is none: its depth and its path."""
+    p = _texts(spark, d).select("doc_id", F.explode(extraction.heading_stacks("text")).alias("h"))
+    return p.select("doc_id", "h.first", "h.last", F.size("h.path").alias("depth"), F.array_join("h.path", " > ").alias("path"))

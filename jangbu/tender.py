@@ -61,14 +61,6 @@ def pred11_point_lookup(spark, d):
     return selection.lookup(_rows(spark, d), "RFP-00000001", "예산").drop("row_id")
 
 
-@registered("""select document_id, count(*) as n, count(*) filter (where deleted_at is null) as n_open, count(*) filter (where coalesce(deleted_at >= timestamp '2024-06-01', true)) as n_kept
-  from registry group by 1""")
-def pred13_deadline_keeps_unknown(spark, d):
-    r = table(spark, d, "registry")
-    ok = F.col("deleted_at") >= F.expr("timestamp_ntz'2024-06-01 00:00:00'")
-    return r.groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(F.col("deleted_at").isNull()).alias("n_open"), F.count_if(F.coalesce(ok, F.lit(True))).alias("n_kept"))
-
-
 @registered("""select c.chunk_key from chunks c join (select distinct document_id from registry where retrieval_eligible and deleted_at is null) r using (document_id)
   where c.retrieval_eligible and not coalesce(c.table_degraded, false) and trim(coalesce(c.text, ''), ' ') <> ''""")
 def pred15_retrievable_chunks(spark, d):
@@ -234,27 +226,6 @@ def a11_fact_bundles(spark, d):
     return e.join(t, ["doc", "field"], "left").groupBy("item_key").agg(F.count("*").alias("n_facts"), F.count("known").alias("n_known"), F.coalesce(F.bool_or("present"), F.lit(False)).alias("any_present"))
 
 
-@registered("""select s_suppkey, case when s_suppkey = 7 then 'moved' else s_name end as s_name from supplier""")
-def j23_overlay(spark, d):
-    merged, _ = diffs.overlay(table(spark, d, "supplier").select("s_suppkey", "s_name"), spark.createDataFrame([(7, "moved"), (-1, "nobody")], "s_suppkey long, s_name string"), ["s_suppkey"], "s_name")
-    return merged
-
-
-@registered("""select o_orderkey, o_orderstatus from orders where o_custkey not in (select c_custkey from customer where c_nationkey = 3) union all select o_orderkey, 'N' from orders where o_custkey in (select c_custkey from customer where c_nationkey = 3)""")
-def u06_refresh(spark, d):
-    o, c = table(spark, d, "orders"), table(spark, d, "customer").where("c_nationkey = 3")
-    new = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", F.lit("N").alias("o_orderstatus"))
-    return diffs.refresh(o.select("o_orderkey", "o_orderstatus"), new, "o_orderkey")
-
-
-@registered("""with o as (select o_orderkey, o_totalprice, o_orderstatus from orders), n as (select o_orderkey, case when o_custkey % 7 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice, o_orderstatus from orders where o_orderpriority <> '1-URGENT')
-  select o_orderkey, case when n.o_orderstatus is null then 'removed' else 'changed' end as change from o left join n using (o_orderkey) where n.o_orderstatus is null or o.o_totalprice <> n.o_totalprice""")
-def j19_score_diff(spark, d):
-    o = table(spark, d, "orders")
-    n = o.where("o_orderpriority <> '1-URGENT'").withColumn("o_totalprice", F.when(F.col("o_custkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return diffs.full_diff(o, n, ["o_orderkey"], ["o_totalprice"])
-
-
 # Retrieval
 
 
@@ -414,12 +385,6 @@ def w05_sequence_numbers(spark, d):
     return table(spark, d, "chunks").select("chunk_key", F.row_number().over(w).cast("long").alias("seq"), F.sum(F.when(F.col("block_type") == "table", 1).otherwise(0).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("table_no"))
 
 
-@registered("""select event_id, last_value(case when event_type = 'purchase' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as carried from events""")
-def w06_session_state(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("carried"))
-
-
 @registered("""select doc_id, pos, count(*) filter (where hit) over (partition by doc_id order by pos rows between 6 preceding and 6 following) as near from (select doc_id, pos, line like '%사업%' as hit from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null))""")
 def w08_proximity(spark, d):
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", (F.col("i") + 1).cast("long").alias("pos"), F.col("line").contains("사업").cast("long").alias("hit"))
@@ -439,19 +404,6 @@ def w11_stratified_sample(spark, d):
     return table(spark, d, "documents").select("doc_id", "source", F.row_number().over(w).cast("long").alias("turn")).where("turn <= 20")
 
 
-@registered("""select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as due from orders where o_orderdate between timestamp '1995-03-01' and timestamp '1995-03-31' order by o_orderdate, o_orderkey limit 25""")
-def o03_urgent(spark, d):
-    o = table(spark, d, "orders").where("o_orderdate between timestamp_ntz'1995-03-01 00:00:00' and timestamp_ntz'1995-03-31 00:00:00'")
-    return o.orderBy("o_orderdate", "o_orderkey").limit(25).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("due"))
-
-
-@registered("""select verdict, s_suppkey, r as place from (select case when s_acctbal < 0 then 'out' when s_acctbal > 5000 then 'first' else 'review' end as verdict, s_suppkey, row_number() over (partition by case when s_acctbal < 0 then 'out' when s_acctbal > 5000 then 'first' else 'review' end order by s_acctbal desc, s_suppkey) as r from supplier) where r <= 5""")
-def o04_top_per_verdict(spark, d):
-    s = table(spark, d, "supplier").withColumn("verdict", F.when(F.col("s_acctbal") < 0, "out").when(F.col("s_acctbal") > 5000, "first").otherwise("review"))
-    w = Window.partitionBy("verdict").orderBy(F.desc("s_acctbal"), "s_suppkey")
-    return s.select("verdict", "s_suppkey", F.row_number().over(w).cast("long").alias("place")).where("place <= 5")
-
-
 # Text functions
 
 

@@ -180,21 +180,6 @@ def c02_block_counts(spark, d):
     return t.select("doc_id", F.size(F.filter("ls", lambda x: x.rlike("^#{1,6} "))).cast("long").alias("n_headings"), F.size(F.filter("ls", lambda x: x.startswith("|"))).cast("long").alias("n_rows"), F.contains("text", F.lit("<table")).alias("has_html"))
 
 
-@registered("""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line_no, unnest(string_split(text, chr(10))) as line from documents where text is not null)
-  select doc_id, line_no, last_value(case when regexp_matches(line, '^#{1,6} ') then trim(regexp_replace(line, '^#+ ', '')) end ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding) as heading from l""")
-def w07_headings_carried(spark, d):
-    """The heading every line stands under."""
-    e = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("doc_id", (F.col("i") + 1).cast("long").alias("line_no"), F.last(F.when(F.col("line").rlike("^#{1,6} "), F.trim(F.regexp_replace("line", "^#+ ", ""))), ignorenulls=True).over(w).alias("heading"))
-
-
-@registered("""select chunk_key, count(*) over w as n_near, min(md_line_start) over w as first_line from chunks window w as (partition by document_id, chunking_version order by md_line_start nulls first, chunk_key rows between 6 preceding and 2 following)""")
-def w09_context_windows(spark, d):
-    w = Window.partitionBy("document_id", "chunking_version").orderBy(F.asc_nulls_first("md_line_start"), "chunk_key").rowsBetween(-6, 2)
-    return table(spark, d, "chunks").select("chunk_key", F.count("*").over(w).alias("n_near"), F.min("md_line_start").over(w).alias("first_line"))
-
-
 @registered("""with g as (select chunk_key, document_id, chunking_version, block_type, array_to_string(section_path, ' > ') as path, md_line_start from chunks where document_id is not null and md_line_start is not null),
   m as (select *, case when block_type = 'table' or path is distinct from lag(path) over w or lag(block_type) over w is distinct from block_type then 1 else 0 end as starts from g window w as (partition by document_id, chunking_version order by md_line_start, chunk_key)),
   s as (select *, sum(starts) over (partition by document_id, chunking_version order by md_line_start, chunk_key rows unbounded preceding) as grp from m)
@@ -213,17 +198,3 @@ def d08_question_signals(spark, d):
     q = F.col("question")
     return table(spark, d, "evaluation_items").where("question is not null").select("item_key", q.rlike("이 사업|해당 사업|위 사업|그 사업|방금").alias("anaphoric"), q.rlike("마감|기한|언제까지").alias("asks_deadline"), q.rlike("이유|왜|설명").alias("asks_why"))
 
-
-@registered("""with t as (select distinct token from (select unnest(string_split(official_name, ' ')) as token from buyer_orgs)), m as (select record_id, unnest(list_distinct(string_split(buyer_org, ' '))) as token from identity_records where buyer_org is not null) select record_id, count(*) as n_tokens, count(*) filter (where token not in (select token from t)) as n_unknown from m where token <> '' group by 1""")
-def d04_unknown_tokens(spark, d):
-    t = table(spark, d, "buyer_orgs").select(F.explode(F.split("official_name", " ")).alias("token")).distinct().withColumn("k", F.lit(1))
-    m = table(spark, d, "identity_records").where("buyer_org is not null").select("record_id", F.explode(F.array_distinct(F.split("buyer_org", " ", -1))).alias("token")).where("token <> ''")
-    return m.join(F.broadcast(t), "token", "left").groupBy("record_id").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("k").isNull()).alias("n_unknown"))
-
-
-@registered("""select i.record_id, r.n_names from identity_records i join (select document_id, count(distinct output_filename) as n_names, min(output_filename) as name from registry group by 1) r using (document_id) where regexp_matches(r.name, '.*' || regexp_escape(split_part(i.project_name, ' ', 2)) || '.*') and length(split_part(i.project_name, ' ', 2)) >= 2""")
-def d06_title_terms(spark, d):
-    """Records whose project's second word stands in the registered file name."""
-    r = table(spark, d, "registry").groupBy("document_id").agg(F.countDistinct("output_filename").alias("n_names"), F.min("output_filename").alias("name"))
-    word = F.split_part(F.col("project_name"), F.lit(" "), F.lit(2))
-    return table(spark, d, "identity_records").withColumn("word", word).where("length(word) >= 2").join(r, "document_id").where(F.contains("name", "word")).select("record_id", "n_names")
