@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jangbu.functions import columns as C
-from jangbu.operators import diffs, reports, scoring, selection
+from jangbu.operators import diffs, locate, reports, scoring, selection
 from jangbu.runtime import table
 from jangbu.registry import registered
 from jangbu.tender import _CELLS
@@ -94,9 +94,11 @@ def v05_gold_recomputed(spark, d):
   select retrievable, count(*) as n from r group by 1""")
 def v06_retrievable_evidence(spark, d):
     e = table(spark, d, "evaluation_items").select("item_key", F.explode("evidence").alias("x")).select("item_key", F.col("x.location.document").alias("doc"), F.col("x.location.line").alias("line")).where("line is not null")
-    c = table(spark, d, "chunks").select(F.col("document_id").alias("d2"), "md_line_start", "md_line_end", "retrieval_eligible")
-    j = e.join(c, (F.col("doc") == F.col("d2")) & F.col("line").between(F.col("md_line_start"), F.col("md_line_end")), "left")
-    r = j.groupBy("item_key", "doc", "line").agg(F.bool_or(F.coalesce("retrieval_eligible", F.lit(False))).alias("retrievable"))
+    e = e.distinct()
+    c = table(spark, d, "chunks").select(F.col("document_id").alias("doc"), "md_line_start", "md_line_end", "retrieval_eligible")
+    held = locate.covering(e, c, "doc", "line", "md_line_start", "md_line_end").where("retrieval_eligible").select("item_key", "doc", "line").distinct().withColumn("ok", F.lit(True))
+    on = [e["item_key"] == held["item_key"], e["doc"].eqNullSafe(held["doc"]), e["line"] == held["line"]]
+    r = e.join(held, on, "left").select(F.coalesce(held["ok"], F.lit(False)).alias("retrievable"))
     return r.groupBy("retrievable").agg(F.count("*").alias("n"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jangbu.functions import columns as C
-from jangbu.operators import diffs, extract, reports, scoring, selection
+from jangbu.operators import diffs, extract, locate, reports, scoring, selection
 from jangbu.runtime import table
 from jangbu.registry import registered
 from jangbu.tender import _CELLS, _SCOPE
@@ -77,7 +77,7 @@ def j07_evidence_citations(spark, d):
     c = selection.current_cells(table(spark, d, "extraction_rows")).where(C.status_is("present")).select(F.col("document_id").alias("doc"), F.col("field_name").alias("field"))
     k = table(spark, d, "chunks").select(F.col("document_id").alias("doc"), "chunk_key", "md_line_start", "md_line_end")
     by_cell = e.join(c, ["doc", "field"]).select("item_key", F.concat_ws("/", "doc", "field").alias("hit"))
-    by_line = e.join(k, "doc").where("line between md_line_start and md_line_end").select("item_key", F.col("chunk_key").cast("string").alias("hit"))
+    by_line = locate.covering(e, k, "doc", "line", "md_line_start", "md_line_end").select("item_key", F.col("chunk_key").cast("string").alias("hit"))
     return by_cell.unionByName(by_line).groupBy("item_key").agg(F.countDistinct("hit").alias("n_hits"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jangbu.functions.amounts import graded_amount_udf
 from jangbu.functions.answers import scored_text
+from jangbu.operators.locate import covering
 
 # What members of an item may hold, and what each kind of evidence must have.
 TASKS = ("selection", "extraction", "qa", "comparison")
@@ -68,15 +69,14 @@ def _evidence(items: DataFrame) -> DataFrame:
 def missing_evidence(items: DataFrame, cells: DataFrame, identity_fields: list[str], chunks: DataFrame) -> DataFrame:
     """``item_key, i, problem`` of S11: evidence of an unknown kind, without what its kind needs, that names a cell or a field there is not, states another status than the cell, or stands on a line no chunk covers.
 
-    Lines meet chunks in stretches of 64, so that a document of very many lines
-    and chunks is no single group of pairs.
+    Lines meet chunks in buckets, so that a document of very many lines and chunks
+    is no single group of pairs.
     """
     e = _evidence(items)
     cell = cells.select("document_id", F.col("field_name").alias("field"), F.col("status").alias("_cell"))
-    stretch = 64
-    c = chunks.where("document_id is not null and md_line_start <= md_line_end").select("document_id", "md_line_start", "md_line_end", F.explode(F.sequence(F.floor(F.col("md_line_start") / stretch), F.floor(F.col("md_line_end") / stretch))).alias("_b"))
-    lines = e.where("kind = 'chunk' and line is not null").withColumn("_b", F.floor(F.col("line") / stretch))
-    covered = lines.join(c, ["document_id", "_b"]).where("line between md_line_start and md_line_end").select("item_key", "i").distinct().withColumn("_covered", F.lit(True))
+    lines = e.where("kind = 'chunk' and line is not null").select("item_key", "i", "document_id", "line")
+    c = chunks.where("document_id is not null").select("document_id", "md_line_start", "md_line_end")
+    covered = covering(lines, c, "document_id", "line", "md_line_start", "md_line_end").select("item_key", "i").distinct().withColumn("_covered", F.lit(True))
     j = e.join(cell, ["document_id", "field"], "left").join(covered, ["item_key", "i"], "left")
     k = F.coalesce("kind", F.lit("?"))
     need = (k == "table") & (F.col("document_id").isNull() | F.col("field").isNull() | F.col("status").isNull()) | (k == "identity") & (F.col("document_id").isNull() | F.col("field").isNull()) | (k == "chunk") & (F.col("document_id").isNull() | F.col("line").isNull())

@@ -20,6 +20,16 @@ def narrowest(points: DataFrame, intervals: DataFrame, key: str, point: str, sta
     return points.select(point_id).join(best, point_id, "left").select(point_id, F.col("x.id").alias(interval_id))
 
 
+def covering(points: DataFrame, intervals: DataFrame, key: str, point: str, start: str, end: str, width: int = 64) -> DataFrame:
+    """Every point with every interval of its key that holds it; intervals without a sound start and end hold nothing.
+
+    As in ``narrowest`` both sides meet in buckets of ``width`` lines.
+    """
+    b = lambda c: F.floor(F.col(c) / width).cast("int")
+    spread = intervals.where(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(b(start), b(end))))
+    return points.withColumn("_b", b(point)).join(spread, [key, "_b"]).where(F.col(point).between(F.col(start), F.col(end))).drop("_b")
+
+
 def in_section(gold: DataFrame, candidates: DataFrame) -> DataFrame:
     """Gold locations met by candidate locations of the same document and section: by line where both have one, else by reference number."""
     g, c = gold.alias("g"), candidates.alias("c")
