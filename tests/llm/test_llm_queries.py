@@ -15,6 +15,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
 def test_query(spark, name):
     df = queries.queries()[name](spark, str(DATA))
     got = df.collect()
+    assert got
     sql = queries.oracle_sql().get(name)
     if sql:
         con = duckdb.connect()
