@@ -29,7 +29,8 @@ def _value(pattern: str) -> Column:
 def hits(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, field_name, line_no, value, heading`` of every line that names a field; a label in a heading has no value of its own."""
     each = F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(f).alias("field_name"), _value(p).alias("value"))) for f, p in LABELS.items()))
-    return lines(documents, key, text).select(key, "line_no", F.col("line").startswith("#").alias("heading"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("h")).select(key, "h.field_name", "line_no", "h.value", "heading")
+    named = lines(documents, key, text).where(F.col("line").rlike("|".join(LABELS.values())))  # one alternation before the twelve patterns
+    return named.select(key, "line_no", F.col("line").startswith("#").alias("heading"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("h")).select(key, "h.field_name", "line_no", "h.value", "heading")
 
 
 def status(value: Column) -> Column:
