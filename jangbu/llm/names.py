@@ -13,6 +13,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jangbu.llm.lookalike import by_table
-from jangbu.runtime import cut
+from jangbu.runtime import broadcast_if_small, cut
 
 GRAM = 4
 
@@ -299,21 +300,11 @@ def _keys(organisations: frozenset[str]):
     return keys.asNondeterministic()
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _grams(core: pd.Series) -> pd.Series:
-    return pd.Series([grams(x) for x in core], dtype=object)
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _pairs_of_syllables(s: pd.Series) -> pd.Series:
     return pd.Series([sorted({x[i : i + 2] for i in range(len(x) - 1)}) for x in s], dtype=object)
 
 
-@F.pandas_udf(T.DoubleType())
-def _cost(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_apart(x, y) if len(x) <= len(y) else _apart(y, x) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 #: Syllables in a row that two cores share and that then cost no more than one letter, whatever stands around them.
 SHARED_RUN = 6
 
@@ -355,25 +346,173 @@ def project_names(identity_records: DataFrame, organisations: frozenset[str] = f
     return keyed.withColumn("core", core("wording")).select("project_name", "year", "phase", "core")
 
 
+def packed_grams(cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and n-gram of every distinct n-gram of the cores, as ``grams`` gives them; an n-gram is its letters at 16 bits each (cores hold digits, a to z and syllables)."""
+    spelt = [letters(x) for x in cores]
+    length = np.fromiter(map(len, spelt), np.int64, len(spelt))
+    code = np.concatenate([np.frombuffer("".join(spelt).encode("utf-32-le"), np.uint32).astype(np.int64) & 0xFFFF, np.zeros(GRAM, np.int64)])
+    n = np.where(length > 0, np.maximum(1, length - GRAM + 1), 0)
+    row = np.repeat(np.arange(len(spelt)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    begin = (np.cumsum(length) - length)[row] + at
+    gram = np.zeros(len(row), np.int64)
+    for k in range(GRAM):
+        gram = gram << 16 | np.where(at + k < length[row], code[begin + k], 0)
+    order = np.lexsort((gram, row))
+    row, gram = row[order], gram[order]
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+    return row[first], gram[first]
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _packed(core: pd.Series) -> pd.Series:
+    row, gram = packed_grams(core.tolist())
+    return pd.Series(np.split(gram, np.searchsorted(row, np.arange(1, len(core)))), dtype=object)
+
+
+#: Pairs of equal size from which their costs are worked out together.
+TOGETHER = 32
+
+
+def apart_many(a: list[str], b: list[str]) -> np.ndarray:
+    """``_apart`` of the shorter and the longer of every pair."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
+    out = np.empty(len(pairs))
+    by_size: dict[tuple[int, int], list[int]] = {}
+    for k, (x, y) in enumerate(pairs):
+        by_size.setdefault((len(x), len(y)), []).append(k)
+    for (m, n), ks in by_size.items():
+        if m == 0 or len(ks) < TOGETHER:
+            out[ks] = [_apart(*pairs[k]) for k in ks]
+            continue
+        cost = _inside_many([pairs[k][0] for k in ks], [pairs[k][1] for k in ks], m >= 5 and n - m <= 1)
+        if m >= SHARED_RUN:
+            for i in np.flatnonzero(cost > 0.5).tolist():
+                x, y = pairs[ks[i]]
+                if any(x[j : j + SHARED_RUN] in y for j in range(m - SHARED_RUN + 1)):
+                    cost[i] = 0.5
+        out[ks] = cost
+    return out
+
+
+def _inside_many(short: list[str], long: list[str], whole: bool) -> np.ndarray:
+    """``inside`` of pairs of which all the short sides are of one length and all the long sides too."""
+    codes = lambda xs: np.ascontiguousarray(np.frombuffer("".join(xs).encode("utf-32-le"), np.uint32).astype(np.int32).reshape(len(xs), -1).T)
+    s, t = codes(short), codes(long)
+    parts = lambda c: ((c - 0xAC00) // 588, (c - 0xAC00) // 28 % 21, (c - 0xAC00) % 28, (c >= 0xAC00) & (c <= 0xD7A3))
+    (s1, s2, s3, s_is), (t1, t2, t3, t_is) = parts(s), parts(t)
+    by_differing = np.array([0.0, 0.5, 0.8, 1.0])
+    before: list[np.ndarray] = []
+    row = [np.full(len(short), float(j) if whole else 0.0) for j in range(len(t) + 1)]
+    for i in range(len(s)):
+        new = [np.full(len(short), i + 1.0)]
+        for j in range(len(t)):
+            differing = (s1[i] != t1[j]).astype(np.int8) + (s2[i] != t2[j]) + (s3[i] != t3[j])
+            cost = np.where(s_is[i] & t_is[j], by_differing[differing], s[i] != t[j])
+            v = np.minimum(np.minimum(row[j] + cost, row[j + 1] + 1), new[j] + 1)
+            if i and j:
+                v = np.where((s[i] == t[j - 1]) & (s[i - 1] == t[j]), np.minimum(v, before[j - 1] + 1), v)
+            new.append(v)
+        before, row = row, new
+    return row[-1] if whole else np.minimum.reduce(row)
+
+
+#: Nodes of one block; two blocks of one year and phase meet in one cell.  Products of two nodes' n-grams worked out at once.
+BLOCK, AT_ONCE = 30_000, 2_000_000
+
+
+def close_rows(cores: list[str], n_first: int, gram: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows and cosine of all pairs of cores of cosine ``COSINE`` or more, in parts: one of the first ``n_first`` with one of the rest, or, where these are all, each with each.
+
+    ``gram`` is sorted and holds every n-gram of the cores, ``weight`` its weight.
+    """
+    row, g = packed_grams(cores)
+    w = weight[column := np.searchsorted(gram, g)]
+    x = (w / np.sqrt(np.bincount(row, w * w, len(cores)))[row]).astype(np.float32)
+    order = np.lexsort((row, column))
+    row, column, x = row[order], column[order], x[order]
+    # every n-gram's list of rows; an entry meets those behind it, or those of the second block
+    end = np.searchsorted(column, column, "right")
+    place = column * len(cores) + row
+    begin = np.arange(1, len(row) + 1) if n_first == len(cores) else np.searchsorted(place, column * len(cores) + n_first)
+    mine = np.flatnonzero((row < n_first) & (end > begin))
+    mine = mine[np.argsort(row[mine], kind="stable")]
+    n = (end - begin)[mine]
+    total = np.cumsum(n)
+    at = 0
+    while at < len(mine):
+        # whole rows, at least one
+        to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")), at + 1)
+        if to < len(mine):
+            back = int(np.searchsorted(row[mine], row[mine[to]]))
+            to = back if back > at else int(np.searchsorted(row[mine], row[mine[at]], "right"))
+        own, k = mine[at:to], n[at:to]
+        other = np.repeat(begin[own] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        pair = np.repeat(row[own] - row[own[0]], k) * len(cores) + row[other]
+        order = np.argsort(pair)
+        pair = pair[order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        cosine = np.add.reduceat((np.repeat(x[own], k) * x[other])[order].astype(np.float64), first)
+        good = cosine >= COSINE - 1e-6
+        found = pair[first[good]]
+        yield found // len(cores) + row[own[0]], found % len(cores), cosine[good]
+        at = to
+
+
+def _cell(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Pairs of one cell: its nodes (``id, core, block``) and, without core, the n-grams of their year and phase (``id, w``)."""
+    is_node = part["core"].notna()
+    nodes, gram = part[is_node].sort_values("block", kind="stable"), part[~is_node].sort_values("id")
+    cores, node = nodes["core"].to_numpy(object), nodes["id"].to_numpy()
+    n_first = len(nodes) if part["one"].iloc[0] else int((nodes["block"] == nodes["block"].min()).sum())
+    if not part["one"].iloc[0] and n_first == len(nodes):  # one of the two blocks is empty
+        return
+    for i, j, cosine in close_rows(cores.tolist(), n_first, gram["id"].to_numpy(), gram["w"].to_numpy()):
+        similarity = (1 - apart_many(cores[i].tolist(), cores[j].tolist()) / APART + cosine) / 2
+        a, b, good = node[i], node[j], similarity > 0
+        yield pd.DataFrame({"a": np.minimum(a, b)[good], "b": np.maximum(a, b)[good], "similarity": similarity[good]})
+
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of all cells of rows sorted by cell, of which one at a time is held."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        for cell, part in b.groupby("cell", sort=False):
+            if held and held[0]["cell"].iloc[0] != cell:
+                yield from _cell(pd.concat(held))
+                held = []
+            held.append(part)
+    if held:
+        yield from _cell(pd.concat(held))
+
+
 def similar_cores(nodes: DataFrame) -> DataFrame:
     """``a, b, similarity`` (a < b) of nodes (``node, year, phase, core``) of one year and phase: all pairs of cosine ``COSINE`` or more, confirmed by edit distance.
 
-    The join is over an inverted index of n-grams, exact, without caps; the
+    The nodes of a year and phase are dealt into blocks of about ``BLOCK``, and
+    every two blocks meet in a cell of their own, where a worker multiplies them
+    over an inverted index of n-grams, exact, without caps.  What is shuffled is
+    every node once for each block of its year and phase, never the pairs.  The
     similarity is the mean of the cosine and 1 - edit cost / ``APART``.
     """
-    gram = nodes.select("node", "year", "phase", F.explode(_grams("core")).alias("gram"))
     n = nodes.agg(F.count("*")).scalar()
-    weight = gram.groupBy("gram").agg(F.count("*").alias("df")).select("gram", F.log(1 + n / F.col("df")).alias("w"))
-    weighted = gram.join(weight, "gram")
-    norm = weighted.groupBy("node").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = cut(weighted.join(norm, "node").select("node", "year", "phase", "gram", (F.col("w") / F.col("norm")).cast("float").alias("x")))
-    a, b = index.alias("a"), index.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("gram", "year", "phase")]
-    dots = a.join(b, same).where("a.node < b.node").groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("cosine"))
-    close = cut(dots.where(F.col("cosine") >= COSINE - 1e-6))
-    core = lambda side: nodes.select(F.col("node").alias(side), F.col("core").alias(f"core_{side}"))
-    near = close.join(core("a"), "a").join(core("b"), "b").withColumn("cost", _cost("core_a", "core_b"))
-    return near.select("a", "b", ((1 - F.col("cost") / APART + F.col("cosine")) / 2).alias("similarity")).where("similarity > 0")
+    held = cut(nodes.select("year", "phase", F.explode(_packed("core")).alias("gram")).groupBy("year", "phase", "gram").agg(F.count("*").alias("n")))
+    weight = held.groupBy("gram").agg(F.sum("n").alias("df")).select("gram", F.log(1 + n / F.col("df")).alias("w"))
+    sizes = nodes.groupBy("year", "phase").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = broadcast_if_small(cut(sizes), 100_000)
+    name = lambda i, j: F.concat_ws("|", "year", "phase", i.cast("string"), j.cast("string"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    placed = nodes.join(sizes, ["year", "phase"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = placed.select("year", "phase", "node", "core", "block", F.explode(every).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    left = met.select(name(low, high).alias("cell"), (low == high).alias("one"), F.col("node").alias("id"), "core", "block", F.lit(0.0).alias("w"))
+    grams_of = held.join(weight, "gram").join(sizes, ["year", "phase"])
+    twice = F.explode(F.flatten(F.transform(every, lambda i: F.transform(F.sequence(i, F.col("blocks") - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("c")
+    right = grams_of.select("year", "phase", "gram", "w", twice).select(name(F.col("c.i"), F.col("c.j")).alias("cell"), (F.col("c.i") == F.col("c.j")).alias("one"), F.col("gram").alias("id"), F.lit(None).cast("string").alias("core"), F.lit(0).alias("block"), "w")
+    # few bytes and much work: in several parts a core
+    spread = left.unionByName(right).repartition(4 * nodes.sparkSession.sparkContext.defaultParallelism, "cell").sortWithinPartitions("cell")
+    return spread.mapInPandas(_cells, "a long, b long, similarity double")
 
 
 def average_linkage(edges: DataFrame, sizes: DataFrame, least: float = LINKAGE) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 
@@ -85,3 +86,52 @@ def test_classes_count_the_links(spark):
     got = {r.record_id: r.n_links for r in names.project_classes(df).collect()}
     assert got == {k: n.get(k, 0) for k, d, t in data if d and t and t.strip()} and sum(got.values()) == 2 * len(pairs) > 0
     assert names.project_classes(df.limit(0)).count() == 0
+
+
+def test_similar_cores_are_all_pairs_whatever_the_blocks(spark, monkeypatch):
+    from collections import Counter
+    from math import log, sqrt
+
+    r = random.Random(5)
+    syllables = "가나다라마바사자카타파하거너더"
+    base = ["".join(r.choice(syllables) for _ in range(r.choice((2, 5, 6, 7, 8)))) for _ in range(40)]
+    cores = {(y, p, b if r.random() < 0.3 else b[:k] + r.choice(syllables + "1a") + b[k + r.choice((0, 1)) :]) for y in ("2023", "") for p in ("", "2") for b in base for k in (r.randrange(len(b)), r.randrange(len(b)))} | {("2023", "", "가"), ("2023", "", "가나다라마바사아" * 3)}
+    data = [(i * 7919 - 400_000, *c) for i, c in enumerate(sorted(cores))]
+    df = Counter(g for *_, c in data for g in names.grams(c))
+    vector = {i: {g: log(1 + len(data) / df[g]) for g in names.grams(c)} for i, _, _, c in data}
+    norm = {i: sqrt(sum(w * w for w in v.values())) for i, v in vector.items()}
+    want = {}
+    for a, ya, pa, ca in data:
+        for b, yb, pb, cb in data:
+            if a < b and (ya, pa) == (yb, pb):
+                cosine = sum(w * vector[b].get(g, 0) for g, w in vector[a].items()) / norm[a] / norm[b]
+                similarity = (1 - names._apart(*sorted((ca, cb), key=len)) / names.APART + cosine) / 2
+                if cosine >= names.COSINE and similarity > 0:
+                    want[a, b] = similarity
+    nodes = spark.createDataFrame(data, "node long, year string, phase string, core string")
+    for block in (30_000, 17):
+        monkeypatch.setattr(names, "BLOCK", block)
+        near = names.similar_cores(nodes)
+        got = {(x.a, x.b): x.similarity for x in near.collect()}
+        assert got.keys() == want.keys() and len(want) > 100
+        assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+        # the pairs are no rows of any shuffle
+        assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[0]
+    assert names.similar_cores(nodes.limit(0)).count() == 0
+
+    gram = sorted(df, key=lambda g: names.packed_grams([g])[1][0])
+    packed, weight = (np.array(x) for x in ([names.packed_grams([g])[1][0] for g in gram], [log(1 + len(data) / df[g]) for g in gram]))
+    cores = [c for *_, c in data]
+    for first in (len(cores), 30):
+        parts = []
+        for at_once in (2_000_000, 50):
+            monkeypatch.setattr(names, "AT_ONCE", at_once)
+            parts.append([(i, j) for a, b, _ in names.close_rows(cores, first, packed, weight) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        assert parts[0] == parts[1] and len(parts[0]) > 20 and all(i < j and i < first and (j >= first or first == len(cores)) for i, j in parts[0])
+
+
+def test_costs_worked_out_together():
+    r = random.Random(3)
+    made_up = lambda: "".join(r.choice("가각간나난다1a") for _ in range(r.choice((1, 4, 5, 6, 7))))
+    pairs = [(made_up(), made_up()) for _ in range(3_000)]
+    assert names.apart_many(*map(list, zip(*pairs, strict=True))).tolist() == [names._apart(*sorted(p, key=len)) for p in pairs]
