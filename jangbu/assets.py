@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from jangbu.functions import columns as C
 from jangbu.operators import diffs, selection
 from jangbu.registry import registered
-from jangbu.runtime import checkpoint_dir, table
+from jangbu.runtime import checkpoint_dir, stream, table
 from jangbu.sources import assets, readers, sinks
 from jangbu.streaming import twins
 from jangbu.tender import _SCOPE
@@ -329,9 +329,8 @@ def t02_usage_per_item(spark, d):
 @registered("""select document_id, registered_at from (select document_id, max(registered_at) as registered_at from registry where registered_at is not null group by 1) """)
 def t03_streamed_refresh(spark, d):
     """The registry streamed into a table of which each document keeps its newest row."""
-    schema = table(spark, d, "registry").schema
     path = _place(spark, "t03")
-    r = spark.readStream.schema(schema).option("pathGlobFilter", "registry.parquet").parquet(d).where("registered_at is not null").select("document_id", "registered_at")
+    r = stream(spark, d, "registry").where("registered_at is not null").select("document_id", "registered_at")
     q = r.writeStream.foreachBatch(twins.merge_buckets(path, "document_id", "registered_at")).option("checkpointLocation", _place(spark, "t03c")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("document_id string, registered_at timestamp_ntz, bucket int").parquet(path).drop("bucket").groupBy("document_id").agg(F.max("registered_at").alias("registered_at"))

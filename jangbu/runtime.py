@@ -62,6 +62,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One Parquet table of a data directory as a stream, be it a file or a folder of files."""
+    schema = table(spark, sf_dir, name).schema
+    # a pattern: a plain path may name no file, and a filter on file names reaches no folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 

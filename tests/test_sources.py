@@ -79,3 +79,20 @@ def test_streams(spark, tmp_path):
     for batch in ([("a", 1), ("b", 1)], [("b", 2)], [("b", 2)]):
         write(spark.createDataFrame(batch, "document_id string, v int"), 0)
     assert rows(spark.read.parquet(str(tmp_path / "merged"))) == [("a", 1), ("b", 2)]
+
+
+def test_streams_of_files_and_of_folders(spark, tmp_path):
+    """t03: a table that is a folder of files is streamed like one that is a file."""
+    from datetime import datetime
+
+    from jangbu.assets import t03_streamed_refresh
+
+    data = [("a", datetime(2024, 1, 1)), ("a", datetime(2024, 2, 1)), ("b", None), (None, datetime(2024, 3, 1))]
+    df = spark.createDataFrame(data, "document_id string, registered_at timestamp_ntz")
+    df.repartition(2).write.parquet(str(tmp_path / "folder/registry.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "file/registry.parquet")
+    for d in ("folder", "file"):
+        got = {(r.document_id, r.registered_at) for r in t03_streamed_refresh(spark, str(tmp_path / d)).collect()}
+        assert got == {("a", datetime(2024, 2, 1)), (None, datetime(2024, 3, 1))}
