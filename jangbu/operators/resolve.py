@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jangbu.functions.columns import expression_key
+from jangbu.runtime import cut
 
 #: Most names of a fixed list that are matched by one automaton, and most keys of any list that are.
 GROUP = 200_000
@@ -16,6 +19,57 @@ GROUP = 200_000
 GRAM = 4
 
 
+#: Places counted in, and bits of the marks, by which texts leave out what no key begins with or is met by.
+PLACES, BITS = 1 << 21, 1 << 25
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _prefixes(words: list[str], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``n``, numbers and hashes of the words' first ``n`` characters, for every ``n`` from ``least`` on."""
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.cumsum(length) - length
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    at, h = np.flatnonzero(length > 0), np.zeros(len(words), np.uint64)
+    n = 0
+    while len(at):
+        h[at] = (h[at] ^ code[begin[at] + n]) * _FACTOR
+        h[at] ^= h[at] >> np.uint64(29)
+        n += 1
+        if n >= least:
+            yield n, at, h[at]
+        at = at[length[at] > n]
+
+
+def _gathered(df: DataFrame, column: str, start: Callable[[], np.ndarray], add: Callable[[np.ndarray, list[str]], None], join: np.ufunc) -> bytes:
+    """One array of fixed size that every value of a column was added to; the driver gets that alone."""
+    kind = start().dtype
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = start()
+        for b in batches:
+            add(out, b[column].tolist())
+        yield pd.DataFrame({"part": [out.tobytes()]})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = start()
+        for b in batches:
+            for x in b["part"]:
+                join(out, np.frombuffer(x, kind), out=out)
+        yield pd.DataFrame({"part": [out.tobytes()]})
+
+    return bytes(df.select(column).coalesce(4).mapInPandas(gather, "part binary").repartition(1).mapInPandas(fold, "part binary").first().part)
+
+
+def _mark(marks: np.ndarray, h: np.ndarray) -> None:
+    at = h % np.uint64(BITS)
+    np.bitwise_or.at(marks, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+
+def _marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h % np.uint64(BITS)
+    return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _grams(c: Column) -> Column:
     """Distinct ``GRAM``-grams of a text, none for shorter ones."""
     n = F.length(c) - (GRAM - 1)
@@ -98,18 +152,35 @@ def unknown_organisations(questions: DataFrame, names: DataFrame, text: str = "q
 def titles_in_order(questions: DataFrame, identity_records: DataFrame, text: str = "question", question_id: str = "question_id") -> DataFrame:
     """``question_id, document_id``: documents all words of whose project name (two at least) stand in a question in their order.
 
-    A title meets the questions in which a word begins with its rarest word.
+    A title meets the questions in which a word begins with its rarest word; other
+    beginnings of words leave the questions' rows before anything is shuffled.  No
+    join sends a table through the driver.
     """
     words = F.filter(F.split(F.regexp_replace(F.col("project_name"), r"[^0-9A-Za-z가-힣]+", " "), " "), lambda w: F.length(w) >= 2)
     titles = identity_records.where("document_id is not null and project_name is not null").select("document_id", words.alias("ws")).distinct().where("size(ws) >= 2")
     each = titles.select("ws").distinct().select("ws", F.explode(F.array_distinct("ws")).alias("w"))
     df = each.groupBy("w").agg(F.count("*").alias("df"))
-    anchor = each.join(df, "w").groupBy("ws").agg(F.min(F.struct("df", "w")).alias("a")).select("ws", F.col("a.w").alias("begin"))
+    anchor = each.join(df.hint("merge"), "w").groupBy("ws").agg(F.min(F.struct("df", "w")).alias("a")).select("ws", F.col("a.w").alias("begin"))
     q = questions.where(F.col(text).isNotNull()).select(question_id, F.col(text).alias("_q"))
-    begins = F.explode(F.array_distinct(F.flatten(F.transform(F.filter(F.split(F.regexp_replace("_q", r"[^0-9A-Za-z가-힣]+", " "), " "), lambda w: F.length(w) >= 2), lambda w: F.transform(F.sequence(F.lit(2), F.length(w)), lambda n: F.substr(w, F.lit(1), n)))))).alias("begin")
+    anchor = cut(anchor)
+    marks = questions.sparkSession.sparkContext.broadcast(_gathered(anchor, "begin", lambda: np.zeros(BITS // 8, np.uint8), lambda m, ws: [_mark(m, h[np.fromiter((len(ws[i]) == n for i in at.tolist()), bool, len(at))]) for n, at, h in _prefixes(ws, 2)], np.bitwise_or))
+
+    def begins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.frombuffer(marks.value, np.uint8)
+        for b in batches:
+            word, of = [], []
+            for k, t in enumerate(b["_q"]):
+                for w in {w for w in re.split(r"[^0-9A-Za-z가-힣]+", t) if len(w) >= 2}:
+                    word.append(w)
+                    of.append(k)
+            found = {(of[i], word[i][:n]) for n, at, h in _prefixes(word, 2) for i in at[_marked(m, h)].tolist()}
+            rows = [k for k, _ in found]
+            yield pd.DataFrame({question_id: b[question_id].to_numpy()[rows], "_q": b["_q"].to_numpy()[rows], "begin": [w for _, w in found]})
+
+    kind = questions.schema[question_id].dataType.simpleString()
     pattern = F.concat(F.lit("(?s)"), F.array_join(F.transform("ws", lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), ".*"))
-    found = q.select(question_id, "_q", begins).join(anchor, "begin").where(F.regexp_like(F.col("_q"), pattern)).select(question_id, "ws").distinct()
-    return found.join(titles, "ws").select(question_id, "document_id").distinct()
+    found = q.mapInPandas(begins, f"{question_id} {kind}, _q string, begin string").join(anchor.hint("merge"), "begin").where(F.regexp_like(F.col("_q"), pattern)).select(question_id, "ws").distinct()
+    return found.join(titles.hint("merge"), "ws").select(question_id, "document_id").distinct()
 
 
 def sweep(identity_records: DataFrame) -> DataFrame:

@@ -148,3 +148,12 @@ def test_index(spark):
     df = spark.createDataFrame(data, "d string, r string, n int, s string")
     assert [x.l for x in df.select(index.lineage(F.col("d"), F.col("r"), F.col("n"), F.col("s")).alias("l")).collect()] == ["declared:v1", "records:v2", "conflict", "settings:s", "unknown"]
     assert selection.id_lists(spark.createDataFrame([("a", True, None, None), ("a", False, None, None), ("b", None, None, "x"), (None, True, None, None)], "document_id string, retrieval_eligible boolean, deleted_at timestamp, duplicate_of_document_id string")).where("list = 'included'").count() == 1
+
+
+def test_titles_do_not_pass_the_driver(spark):
+    """d06: no table is broadcast, however small it looks."""
+    i = spark.createDataFrame([("d", "2024년 「나래」 재난관제 구축"), ("e", "다른 이름 사업"), ("f", None), ("g", "나래 재난관제")], "document_id string, project_name string")
+    q = spark.createDataFrame([(1, "2024년도 나래의 재난관제를 구축하는 건"), (2, "재난관제 나래 구축 2024년"), (3, None), (4, "사업 다른 이름")], "question_id long, question string")
+    found = resolve.titles_in_order(q, i)
+    assert rows(found) == [("d", 1), ("g", 1)]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
