@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from jangbu.functions.columns import expression_key
 from jangbu.runtime import cut
 
-#: Most names of a fixed list that are matched by one automaton, and most keys of any list that are.
-GROUP = 200_000
+#: Most names of a fixed list that are matched by one automaton.
+LISTED = 200_000
+#: Most keys of a list of any size that pass the driver, for one automaton; of more, only counts and marks of fixed size do.
+GROUP = 20_000
 #: Characters of the n-grams by which texts and keys meet; shorter keys are left out.
 GRAM = 4
 
@@ -40,6 +42,23 @@ def _prefixes(words: list[str], least: int) -> Iterator[tuple[int, np.ndarray, n
         at = at[length[at] > n]
 
 
+def _gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of the distinct ``GRAM``-grams of every text, none for shorter ones."""
+    n = np.maximum(np.fromiter(map(len, texts), np.int64, len(texts)) - (GRAM - 1), 0)
+    row = np.repeat(np.arange(len(texts)), n)
+    begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(row), np.uint64)
+    for k in range(GRAM):
+        h = (h ^ code[begin + k]) * _FACTOR
+        h ^= h >> np.uint64(29)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    return row[first], h[first]
+
+
 def _gathered(df: DataFrame, column: str, start: Callable[[], np.ndarray], add: Callable[[np.ndarray, list[str]], None], join: np.ufunc) -> bytes:
     """One array of fixed size that every value of a column was added to; the driver gets that alone."""
     kind = start().dtype
@@ -70,12 +89,6 @@ def _marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _grams(c: Column) -> Column:
-    """Distinct ``GRAM``-grams of a text, none for shorter ones."""
-    n = F.length(c) - (GRAM - 1)
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(c, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
-
-
 def name_keys(identity_records: DataFrame) -> DataFrame:
     """``kind, key, document_id``: every document's buyer and project as compared, keys under four characters left out."""
     named = identity_records.where("document_id is not null").select("document_id", F.explode(F.array(F.struct(F.lit("org").alias("kind"), F.col("buyer_org").alias("name")), F.struct(F.lit("project").alias("kind"), F.col("project_name").alias("name")))).alias("n"))
@@ -86,20 +99,40 @@ def contained(texts: DataFrame, keys: DataFrame, text_id: str, text: str) -> Dat
     """``text_id, key``: keys of at least ``GRAM`` characters that stand inside a text.
 
     Up to ``GROUP`` keys travel to the texts as one automaton.  More are gathered
-    nowhere: both sides meet on a key's rarest n-gram, so that keys with a
-    beginning in common do not meet every text that has it, only the texts'
-    numbers and n-grams are shuffled, and the texts are fetched for what met.
+    nowhere: both sides meet on a key's rarest n-gram (by counts of hashes, which
+    only choose it).  Texts leave out n-grams that no key is met by, so that only
+    the texts' numbers and those n-grams are shuffled, and the texts are fetched
+    for what met.
     """
     distinct = keys.select("key").where(F.length("key") >= GRAM).distinct()
     t = texts.where(F.col(text).isNotNull()).select(text_id, F.col(text).alias("_t"))
-    few = [r.key for r in distinct.limit(GROUP + 1).collect()]
-    if len(few) <= GROUP:
-        return _found(t, few, text_id)
-    g = distinct.select("key", F.explode(_grams(F.col("key"))).alias("gram"))
-    df = g.groupBy("gram").agg(F.count("*").alias("df"))
-    anchor = g.join(df, "gram").groupBy("key").agg(F.min(F.struct("df", "gram")).alias("a")).select("key", F.col("a.gram").alias("gram"))
-    met = t.select(text_id, F.explode(_grams(F.col("_t"))).alias("gram")).join(anchor, "gram").select(text_id, "key").distinct()
-    return met.join(t, text_id).where(F.contains("_t", "key")).select(text_id, "key").distinct()
+    if distinct.limit(GROUP + 1).count() <= GROUP:
+        return _found(t, [r.key for r in distinct.collect()], text_id)
+    distinct = cut(distinct)
+    sc, kind = texts.sparkSession.sparkContext, texts.schema[text_id].dataType.simpleString()
+    held = sc.broadcast(_gathered(distinct, "key", lambda: np.zeros(PLACES, np.int32), lambda n, ks: np.add.at(n, (_gram_hashes(ks)[1] % np.uint64(PLACES)).astype(np.int64), 1), np.add))
+
+    def rarest(keys: list[str]) -> np.ndarray:
+        row, h = _gram_hashes(keys)
+        n = np.frombuffer(held.value, np.int32)[(h % np.uint64(PLACES)).astype(np.int64)]
+        order = np.lexsort((h, n, row))
+        return h[order][np.searchsorted(row, np.arange(len(keys)))]
+
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"gram": rarest(b["key"].tolist()).astype(np.int64), "key": b["key"]})
+
+    marks = sc.broadcast(_gathered(distinct, "key", lambda: np.zeros(BITS // 8, np.uint8), lambda m, ks: _mark(m, rarest(ks)), np.bitwise_or))
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.frombuffer(marks.value, np.uint8)
+        for b in batches:
+            row, h = _gram_hashes(b["_t"].tolist())
+            good = _marked(m, h)
+            yield pd.DataFrame({text_id: b[text_id].to_numpy()[row[good]], "gram": h[good].astype(np.int64)})
+
+    met = t.mapInPandas(known, f"{text_id} {kind}, gram long").join(distinct.mapInPandas(anchors, "gram long, key string").hint("merge"), "gram").select(text_id, "key")
+    return met.join(t.hint("merge"), text_id).where(F.contains("_t", "key")).select(text_id, "key").distinct()
 
 
 def _found(texts: DataFrame, keys: list[str], text_id: str) -> DataFrame:
@@ -213,7 +246,7 @@ def resolve(questions: DataFrame, keys: DataFrame, text: str = "question", quest
     return j.select(question_id, outcome.alias("outcome"), doc.alias("document_id"))
 
 
-def verbatim(documents: DataFrame, names: DataFrame, key: str, text: str, name_id: str, most: int = GROUP) -> DataFrame:
+def verbatim(documents: DataFrame, names: DataFrame, key: str, text: str, name_id: str, most: int = LISTED) -> DataFrame:
     """``key, name_id`` where a document's text contains a name (``key`` column of ``names``) as it stands.
 
     ``names`` is a fixed list: at most ``most`` rows, else this fails rather than gather them.

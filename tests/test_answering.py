@@ -150,6 +150,16 @@ def test_index(spark):
     assert selection.id_lists(spark.createDataFrame([("a", True, None, None), ("a", False, None, None), ("b", None, None, "x"), (None, True, None, None)], "document_id string, retrieval_eligible boolean, deleted_at timestamp, duplicate_of_document_id string")).where("list = 'included'").count() == 1
 
 
+def test_many_names_do_not_pass_the_driver(spark, monkeypatch):
+    """d02: more keys than an automaton is built of meet the texts in the workers."""
+    monkeypatch.setattr(resolve, "_found", lambda *_: pytest.fail("keys were gathered"))
+    n = 25_000
+    word = F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "가나다라마바사아자차")
+    keys = spark.range(n).select(word.alias("key"))
+    texts = spark.createDataFrame([(1, "앞가가나다라마뒤"), (2, "가가가가가 가가"), (3, "가나다라마바 가가"), (4, None), (5, "가")], "i long, t string")
+    assert rows(resolve.contained(texts, keys, "i", "t")) == [(1, "가가나다라마"), (3, "가나다라마바")]
+
+
 def test_titles_do_not_pass_the_driver(spark):
     """d06: no table is broadcast, however small it looks."""
     i = spark.createDataFrame([("d", "2024년 「나래」 재난관제 구축"), ("e", "다른 이름 사업"), ("f", None), ("g", "나래 재난관제")], "document_id string, project_name string")
