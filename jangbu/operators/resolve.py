@@ -231,13 +231,25 @@ def sweep(identity_records: DataFrame) -> DataFrame:
 
 def resolve(questions: DataFrame, keys: DataFrame, text: str = "question", question_id: str = "question_id") -> DataFrame:
     """``question_id, outcome, document_id``: ``org_and_project`` or ``project`` or ``org`` where exactly one document is meant, ``ambiguous`` where several are, ``conflict`` where organisation and project share none, ``none``."""
-    hit = mentions(questions, keys, text, question_id).join(keys, "key")
-    by = hit.groupBy(question_id, "document_id").agg(F.bool_or(F.col("kind") == "org").alias("org"), F.bool_or(F.col("kind") == "project").alias("project"))
-    n = by.groupBy(question_id).agg(
-        F.count_if("org").alias("orgs"), F.count_if("project").alias("projects"), F.count_if(F.col("org") & F.col("project")).alias("both"),
-        F.min(F.when(F.col("org") & F.col("project"), F.col("document_id"))).alias("d_both"), F.min(F.when(F.col("project"), F.col("document_id"))).alias("d_project"), F.min(F.when(F.col("org"), F.col("document_id"))).alias("d_org"),
+    # of a set of documents only its least and greatest matter: one, or several; no question meets all documents of an organisation
+    ends = lambda c, when=None: [f(F.when(when, F.col(c)) if when is not None else F.col(c)) for f in (F.min, F.max)]
+    is_org, is_project = F.col("kind") == "org", F.col("kind") == "project"
+    per_key = keys.groupBy("key").agg(*(e.alias(a) for a, e in zip(("o1", "o2", "p1", "p2"), ends("document_id", is_org) + ends("document_id", is_project), strict=True)))
+    org, project = (keys.where(w).select("document_id", F.col("key").alias(a)) for w, a in ((is_org, "org"), (is_project, "project")))
+    per_pair = org.join(project.hint("merge"), "document_id").groupBy("org", "project").agg(*(e.alias(a) for a, e in zip(("b1", "b2"), ends("document_id"), strict=True)))
+    hit = mentions(questions, keys, text, question_id).join(per_key.hint("merge"), "key")
+    by = hit.groupBy(question_id).agg(
+        F.min("o1").alias("o1"), F.max("o2").alias("o2"), F.min("p1").alias("p1"), F.max("p2").alias("p2"),
+        F.collect_set(F.when(F.col("o1").isNotNull(), F.col("key"))).alias("orgs"), F.collect_set(F.when(F.col("p1").isNotNull(), F.col("key"))).alias("projects"),
     )
-    j = questions.select(question_id).join(n, question_id, "left")
+    by = cut(by)
+    said = by.where("size(orgs) > 0 and size(projects) > 0").select(question_id, F.explode("orgs").alias("org"), "projects").select(question_id, "org", F.explode("projects").alias("project"))
+    both = said.join(per_pair.hint("merge"), ["org", "project"]).groupBy(question_id).agg(F.min("b1").alias("d_both"), F.max("b2").alias("b2"))
+    number = lambda a, b: F.when(F.col(a).isNull(), 0).when(F.col(a) == F.col(b), 1).otherwise(2)
+    n = by.join(both.hint("merge"), question_id, "left").select(
+        question_id, number("o1", "o2").alias("orgs"), number("p1", "p2").alias("projects"), number("d_both", "b2").alias("both"), "d_both", F.col("p1").alias("d_project"), F.col("o1").alias("d_org")
+    )
+    j = questions.select(question_id).join(n.hint("merge"), question_id, "left")
     outcome = (
         F.when(F.col("orgs").isNull(), "none").when(F.col("both") == 1, "org_and_project").when(F.col("both") > 1, "ambiguous").when((F.col("orgs") > 0) & (F.col("projects") > 0), "conflict")
         .when(F.col("projects") == 1, "project").when(F.col("projects") > 1, "ambiguous").when(F.col("orgs") == 1, "org").otherwise("ambiguous")

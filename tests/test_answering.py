@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 
 import pytest
@@ -167,3 +168,27 @@ def test_titles_do_not_pass_the_driver(spark):
     found = resolve.titles_in_order(q, i)
     assert rows(found) == [("d", 1), ("g", 1)]
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_question_does_not_meet_all_documents_of_its_organisation(spark):
+    """v11: outcomes are those of whole sets of documents, of which only the ends are kept."""
+    import random
+
+    r = random.Random(9)
+    org, project = [f"기관이름{c}" for c in "가나다라"], [f"사업명칭{c}" for c in "가나다라마바사"]
+    keys = {(k, key, f"d{d}") for d in range(9) for k, names in (("org", org), ("project", project)) for key in r.sample(names, r.randint(0, 2))} | {("project", org[0], "d3"), ("org", project[6], "d8"), ("org", "기관이름하", "d0")}
+    asked = [(i, " ".join(r.sample(org, r.randint(0, 2)) + r.sample(project, r.randint(0, 2)))) for i in range(150)] + [(998, "기관이름하"), (999, None)]
+    want = {}
+    for i, q in asked:
+        docs = lambda kind: {d for k, key, d in keys if k == kind and q and key in q}  # noqa: B023, E731
+        o, p = docs("org"), docs("project")
+        b = o & p
+        outcome = "none" if not o | p else "org_and_project" if len(b) == 1 else "ambiguous" if b else "conflict" if o and p else "project" if len(p) == 1 else "ambiguous" if p else "org" if len(o) == 1 else "ambiguous"
+        want[i] = (outcome, next(iter({"org_and_project": b, "project": p, "org": o}.get(outcome, [None]))))
+    got = resolve.resolve(spark.createDataFrame(asked, "question_id long, question string"), spark.createDataFrame(sorted(keys), "kind string, key string, document_id string"))
+    assert {x.question_id: (x.outcome, x.document_id) for x in got.collect()} == want and len({x for x, _ in want.values()}) == 6
+    # 3,000 questions about one organisation of 3,000 documents: nine million rows if they met
+    many = spark.range(3_000).select(F.lit("org").alias("kind"), F.lit("기관이름가").alias("key"), F.col("id").cast("string").alias("document_id"))
+    plan = resolve.resolve(spark.range(3_000).select(F.col("id").alias("question_id"), F.lit("기관이름가의 예산").alias("question")), many)
+    assert [(x.outcome, x.n) for x in plan.groupBy("outcome").agg(F.count("*").alias("n")).collect()] == [("ambiguous", 3_000)]
+    assert not re.search(r"Aggregate \[question_id#\d+L?, document_id#", plan._jdf.queryExecution().optimizedPlan().toString())
