@@ -30,8 +30,8 @@ TOKENIZERS = "/opt/tokenizers"
 # Fixed value: how byte_bpe_50k splits a text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _WIDE = re.compile(r"\s ")
-#: Most words the automaton holds, and most texts of which the frequent words are taken.  Others are merged; the ids are the same.
-LEXICON, SAMPLE = 30_000, 5_000
+#: Most words the automaton holds.  Others are merged; the ids are the same.
+LEXICON = 30_000
 #: Words a worker keeps the ids of, before it forgets them all.
 MEMO = 200_000
 
@@ -194,8 +194,8 @@ def words_of(text: str, split: re.Pattern | None = None) -> list[str]:
     return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
 
 
-def frequent(texts: DataFrame, most: int, sample: int) -> list[str]:
-    """The ``most`` most frequent words of at most ``sample`` texts, ties in order of the words."""
+def frequent(texts: DataFrame, most: int) -> list[str]:
+    """The ``most`` most frequent words of all texts, of those that occur twice, ties in order of the words."""
     import regex
 
     split = regex.compile(PATTERN)
@@ -205,10 +205,16 @@ def frequent(texts: DataFrame, most: int, sample: int) -> list[str]:
         for b in batches:
             for t in b["text"]:
                 c.update(w for w in words_of(t, split) if len(w) <= 64)
-        yield pd.DataFrame({"word": list(c), "n": list(c.values())}).astype({"word": object, "n": "int64"})
+            if len(c) > MEMO:
+                yield counted(c)
+                c.clear()
+        yield counted(c)
 
-    some = texts.where("text <> ''").select("text").limit(sample)
-    n = some.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def counted(c: Counter[str]) -> pd.DataFrame:
+        return pd.DataFrame({"word": list(c), "n": list(c.values())}).astype({"word": object, "n": "int64"})
+
+    texts = texts.where("text <> ''").select("text")
+    n = texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in n.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
@@ -229,7 +235,7 @@ class Words(dict):
         return found
 
 
-def encode(documents: DataFrame, directory: str = TOKENIZERS, name: str = "byte_bpe_50k", lexicon: int = LEXICON, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+def encode(documents: DataFrame, directory: str = TOKENIZERS, name: str = "byte_bpe_50k", lexicon: int = LEXICON, key: str = "doc_id") -> DataFrame:
     """``doc_id, ids``: every text as the tokenizer's ids, without special tokens.
 
     Null and empty texts give an empty list.  Names of special tokens in a text
@@ -238,7 +244,7 @@ def encode(documents: DataFrame, directory: str = TOKENIZERS, name: str = "byte_
     spark = documents.sparkSession
     ranks = read_ranks(directory, name)
     none = Words(Lexicon.of({}), ranks)
-    words = {w.encode(): none[w] for w in frequent(documents, lexicon, sample)}
+    words = {w.encode(): none[w] for w in frequent(documents, lexicon)}
     file = share_file(spark, pack(Lexicon.build(words)), "lexicon")  # at most ``lexicon`` words
     table = spark.sparkContext.broadcast(ranks)  # the vocabulary, of fixed size
 

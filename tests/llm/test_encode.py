@@ -48,6 +48,12 @@ def test_operator(spark, public):
     assert {r.doc_id: r.ids for r in encode.encode(df, lexicon=2).collect()} == got
 
 
+def test_frequent_words_are_counted_over_all_texts(spark, monkeypatch):
+    texts = spark.range(6_000, numPartitions=1).selectExpr("case when id < 5000 then 'früh' else 'spät spät spät spät spät spät spät' end as text", "id")
+    assert encode.frequent(texts, 1) == [" spät"]
+    assert encode.frequent(texts, 9) == [" spät", "früh", "spät"]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=" \n\t\xa0\u3000ab1.,'가나é🙂\x1c", max_size=40))
 def test_parts_encode_like_the_whole(public, text):
